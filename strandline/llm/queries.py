@@ -3,16 +3,91 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontam, langid, license, linededup, lm, neardup, pieces, topk, toxicity, warc
 from .common import table
 
-ORACLES: dict[str, str] = {}
-
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .toxicity import toxicity
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language(table(spark, sf_dir, "documents"))
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled segmentation of every text, decoded again."""
+    rows = pieces.sentencepiece(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).alias("n_pieces"), F.xxhash64("pieces").alias("pieces_digest"), F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
+
+
+def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dropped(table(spark, sf_dir, "documents"))
+
+
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_topk, op3_neardup, op4_langid, op5_pieces, op6_license, op7_warc, op8_linededup, op9_lm, op10_decontam)}
 
-QUERIES = {f.__name__: f for f in (op1_toxicity,)}
+ORACLES = {
+    "op2_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+    "op3_neardup": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 4 THEN [array_to_string(t, ' ')]
+    ELSE list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i:i + 3], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+sym AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(node, seen) AS (SELECT a, a FROM sym UNION SELECT reach.node, sym.b FROM reach JOIN sym ON reach.seen = sym.a),
+c AS (SELECT node, min(seen) AS root FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.root, d.doc_id) AS component_id, coalesce(c.root, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id""",
+    "op6_license": license.oracle(),
+    "op7_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+x AS (SELECT page_id, strlen(h) AS n, sha1(h) AS d FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM x)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(8), lambda k: array_to_string(list_transform(range(4), lambda j:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(d, CAST(5 * k + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * j AS INTEGER)) & 31)::INTEGER, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f""",
+    "op10_decontam": decontam.oracle() if hasattr(decontam, "oracle") else "",
+}
+ORACLES = {k: v for k, v in ORACLES.items() if v}

@@ -125,24 +125,32 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", train=Non
     return mean["at"].to_numpy(np.int64), mean["w"].to_numpy(float), positive / n
 
 
+class Scorer:
+    """Probability of a text under a sparse model."""
+
+    def __init__(self, model, bits: int = BITS):
+        at, w, self.prior = model
+        self.dense = np.zeros((1 << bits) + 1)
+        self.dense[at] = w
+        self.hot, self.bias, self.known, self.features = self.dense != 0, self.dense[-1], len(at) > 0, Features(bits)
+
+    def __call__(self, text: str | None) -> float:
+        if not self.known:
+            return float(self.prior)
+        at = self.features.all(text)
+        at = np.unique(at[self.hot[at]])
+        return float(1.0 / (1.0 + np.exp(-np.clip(self.bias + self.dense[at].sum(), -500, 500))))
+
+
 def score(documents: DataFrame, model, key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
     """``key, score`` for each row."""
-    at, w, prior = model
-    small = documents.sparkSession.sparkContext.broadcast((at, w.astype(np.float64), prior))
+    small = documents.sparkSession.sparkContext.broadcast(model)
     kind = documents.schema[key].dataType
 
     def run(batches):
-        at, w, prior = small.value
-        dense = np.zeros((1 << bits) + 1)
-        dense[at] = w
-        hot, bias, features = dense != 0, dense[-1], Features(bits)
+        scorer = Scorer(small.value, bits)
         for batch in batches:
-            scores = []
-            for text in batch.column(1):
-                idx = features.all(text.as_py())
-                idx = np.unique(idx[hot[idx]])
-                scores.append(prior if not len(at) else 1.0 / (1.0 + np.exp(-np.clip(bias + dense[idx].sum(), -500, 500))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["k", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer(t.as_py()) for t in batch.column(1)], pa.float64())], names=["k", "score"])
 
     picked = documents.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     return picked.mapInArrow(run, f"k {kind.simpleString()}, score double").withColumnRenamed("k", key)
@@ -152,3 +160,16 @@ def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """``doc_id, held_out, score, predicted``; learns from ids whose crc32 mod 4 is not 2."""
     model = fit(documents, labels, train=remainder("doc_id", 4) != 2)
     return score(documents, model).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_clean(documents: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
+    """``documents`` with a score below ``threshold``, all columns kept."""
+    at = documents.columns.index("text")
+    small = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        scorer = Scorer(small.value)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -1,0 +1 @@
+"""Plan builders (range join, sweeps) and the registered query suite."""

@@ -16,8 +16,9 @@ def _with_neighbours(a: DataFrame, b: DataFrame, tile: int | None) -> DataFrame:
     a_rows = a.select("chrom", F.col("start").alias("_p"), F.lit(1).alias("_k"), F.lit(None).cast("long").alias("_v"), row.alias("_row"))
     b_ends = b.select("chrom", F.col("end").alias("_p"), F.lit(0).alias("_k"), F.col("end").alias("_v"), F.lit(None).cast(a_rows.schema["_row"].dataType).alias("_row"))
     up = running(a_rows.unionByName(b_ends), ["chrom"], ["_p", "_k"], {"_up": ("max", F.col("_v"))}, tile).where("_row IS NOT NULL")
-    a_ends = up.select("chrom", F.col("_row.end").alias("_p"), F.lit(0).alias("_k"), F.lit(None).cast("long").alias("_v"), "_row", "_up")
-    b_starts = b.select("chrom", F.col("start").alias("_p"), F.lit(1).alias("_k"), F.col("start").alias("_v"))
+    # an empty row of B where an empty row of A is counts as upstream only
+    a_ends = up.select("chrom", F.col("_row.end").alias("_p"), F.when(F.col("_row.start") == F.col("_row.end"), 2).otherwise(0).alias("_k"), F.lit(None).cast("long").alias("_v"), "_row", "_up")
+    b_starts = b.select("chrom", F.col("start").alias("_p"), F.when(F.col("start") == F.col("end"), 1).otherwise(3).alias("_k"), F.col("start").alias("_v"))
     both = a_ends.unionByName(b_starts, allowMissingColumns=True)
     down = running(both, ["chrom"], ["_p", "_k"], {"_down": ("min", F.col("_v"))}, tile, reverse=True).where("_row IS NOT NULL")
     return down.select("_row.*", "_up", "_down")

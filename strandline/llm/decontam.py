@@ -108,3 +108,35 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
     """``documents`` without those that hold a benchmark item."""
     bad = contaminated(documents, benchmark, key=key, **options).select(F.col("doc_id").alias(key)).distinct()
     return documents.join(bad, key, "left_anti").select(documents.columns)
+
+
+def oracle() -> str:
+    """The same over DuckDB views."""
+    listed = lambda words: ", ".join(f"'{w}'" for w in words)
+    number = lambda x: f"(regexp_matches({x}, '[0-9]') OR {x} IN ({listed(NUMBERS)}))"
+    template = f"""list_transform(range(1, len(w) + 1), lambda i: CASE WHEN {number("r[i]")} THEN '<NUM>'
+      WHEN i > 1 AND r[i] IN ({listed(UNITS)}) AND {number("r[i - 1]")} THEN '<UNIT>'
+      WHEN i > 1 AND regexp_matches(w[i], '^[^\\p{{L}}]*\\p{{Lu}}') AND NOT regexp_matches(w[i - 1], '[.!?:]$') THEN '<NAME>' ELSE r[i] END)"""
+
+    def tokens(name: str, key: str, source: str) -> str:
+        return f"""{name}_w AS (SELECT {key}, list_filter(string_split_regex(text, '[\\x09-\\x0D\\x20]+'), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) AS w FROM {source} WHERE {key} IS NOT NULL),
+{name}_r AS (SELECT *, list_transform(w, lambda x: lower(regexp_replace(x, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))) AS r FROM {name}_w WHERE len(w) > 0),
+{name} AS (SELECT {key}, r, {template} AS t FROM {name}_r)"""
+
+    return f"""
+WITH {tokens("item", "item_id", "(SELECT item_id, any_value(text) AS text FROM benchmark GROUP BY item_id)")},
+{tokens("doc", "doc_id", "documents")},
+i1 AS (SELECT item_id, n, k AS i_at, t[k:k + n - 1] AS tw, r[k:k + n - 1] AS iw FROM (SELECT *, least({WINDOW}, len(r)) AS n, unnest(range(1, len(r) - least({WINDOW}, len(r)) + 2)) AS k FROM item)),
+i2 AS (SELECT *, len(list_filter(tw, lambda x: x NOT LIKE '<%')) >= least({PLAIN}, n) AS good FROM i1),
+i3 AS (SELECT *, count(*) FILTER (good) OVER (PARTITION BY item_id) AS goods, count(*) OVER (PARTITION BY item_id) AS every FROM i2),
+items AS (SELECT *, CASE WHEN goods > 0 THEN goods ELSE every END AS total FROM i3 WHERE good OR goods = 0),
+d AS (SELECT doc_id, n, k AS d_at, t[k:k + n - 1] AS tw, r[k:k + n - 1] AS dw FROM (SELECT *, unnest(range(1, len(r) - n + 2)) AS k FROM doc, (SELECT DISTINCT n FROM items) WHERE len(r) >= n)),
+hits AS (SELECT d.doc_id, i.item_id, i.total, i.n, i_at, d_at - i_at AS shift, dw = iw AS same, dw, iw, i.tw FROM d JOIN items i ON d.n = i.n AND d.tw = i.tw),
+ps AS (SELECT doc_id, item_id, total, shift, count(DISTINCT i_at) AS n, count(DISTINCT i_at) FILTER (same) AS n_same FROM hits GROUP BY ALL),
+pairs AS (SELECT DISTINCT doc_id, item_id, shift, tw[k] AS kind, iw[k] AS iv, dw[k] AS dv FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM hits) WHERE tw[k] LIKE '<%'),
+ok AS (SELECT doc_id, item_id, shift, count(*) = count(DISTINCT (kind, iv)) AS ok FROM pairs GROUP BY ALL),
+best AS (SELECT doc_id, item_id, total, max(CASE WHEN coalesce(ok, true) THEN n ELSE 0 END) AS best, max(n_same) AS best_same FROM ps LEFT JOIN ok USING (doc_id, item_id, shift) GROUP BY ALL),
+lit AS (SELECT doc_id, item_id, count(DISTINCT i_at) AS literal FROM hits WHERE same GROUP BY ALL),
+j AS (SELECT *, coalesce(literal, 0) * 100 >= total * {PERCENT} OR best_same >= {RUN} AS verbatim FROM best LEFT JOIN lit USING (doc_id, item_id))
+SELECT doc_id, item_id, CASE WHEN verbatim THEN literal ELSE best END AS matched, total, CASE WHEN verbatim THEN 'verbatim' ELSE 'template' END AS kind
+FROM j WHERE verbatim OR best * 100 >= total * {PERCENT} OR best >= {RUN}"""

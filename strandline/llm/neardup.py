@@ -4,8 +4,8 @@ Documents with one and the same shingle set are one *class* first; only classes
 Every class has ``TREES`` signature orders of ``DEPTH`` min-hashes each. In the sorted order of a tree,
 the classes that share a prefix are neighbours; a *region* is such a run. Regions start at
 ``MIN_DEPTH`` common min-hashes, and a region of more than ``REGION`` classes (or ``WEIGHT``
-shingles) is taken one min-hash deeper, and deeper again, until it is small enough; there its ``HEADS``
-heaviest classes (most copies) go into each of its parts, so that a hub keeps its links. A
+shingles) is taken one min-hash deeper, and deeper again, until it is small enough; there ``HEADS``
+of its classes (of each hash slot that with most copies) go into each of its parts, so that a hub keeps its links. A
 region that is still too large at full depth is dealt by a salt, again with its heads in each part.
 
 Inside a region, all signatures are compared in blocks, and what agrees well enough joins a
@@ -102,9 +102,11 @@ def forest(classes: DataFrame) -> DataFrame:
         crowd = cut(rows.join(large, "region"))
         deeper = _prefix(depth + 1) if depth < DEPTH else F.xxhash64("region", F.pmod(F.xxhash64("id"), F.col("parts")))
         parts = crowd.withColumn("below", deeper)
-        # pre-aggregated per task, so no region meets in one place
-        heads = crowd.groupBy("region").agg(F.expr(f"max_by(struct(id, weight, copies, tree, branch), struct(copies, -id), {HEADS})").alias("h"))
-        spread = parts.select("region", "below").distinct().join(heads, "region").select(F.explode("h").alias("h"), "below").select("h.*", F.col("below").alias("region"))
+        # the heaviest class of each of HEADS hash slots; pre-aggregated per task, so no region meets in one place
+        slot = F.pmod(F.xxhash64("id"), F.lit(HEADS))
+        one = F.max_by(F.struct("id", "weight", "copies", "tree", "branch"), F.struct("copies", -F.col("id"))).alias("h")
+        heads = crowd.groupBy("region", slot.alias("_slot")).agg(one)
+        spread = parts.select("region", "below").distinct().join(heads, "region").select("h.*", F.col("below").alias("region"))
         rows = parts.select("id", "weight", "copies", "tree", "branch", F.col("below").alias("region")).unionByName(spread).dropDuplicates(["region", "id"])
     return settled
 

@@ -88,6 +88,5 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM f""",
-    "op10_decontam": decontam.oracle() if hasattr(decontam, "oracle") else "",
+    "op10_decontam": decontam.oracle(),
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}

@@ -101,7 +101,9 @@ def license_scan(documents: DataFrame, known: DataFrame | None = None, key: str
     rows = documents.select(F.col(key).alias("doc_id"), normal_lines(F.col(text).cast("string")).alias("lines"))
     whole = F.struct(F.lit("text").alias("unit"), digest(F.array_join("lines", " ")).alias("digest"))
     single = F.transform("lines", lambda x: F.struct(F.lit("line").alias("unit"), digest(x).alias("digest")))
-    units = rows.where(F.size("lines") > 0).select("doc_id", F.explode(F.concat(F.array(whole), single)).alias("u")).select("doc_id", "u.unit", "u.digest")
+    # no filter on the lines: it would move below them and normalise every text twice
+    found = F.when(F.size("lines") > 0, F.concat(F.array(whole), single))
+    units = rows.select("doc_id", F.explode(found).alias("u")).select("doc_id", "u.unit", "u.digest")
     return units.join(digests, "digest").groupBy("doc_id", "license_id", "unit").agg(F.count("*").alias("n_units"))
 
 

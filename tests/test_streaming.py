@@ -30,11 +30,10 @@ def test_stream_joins(spark, tmp_path):
 
 def test_stream_merge(spark, tmp_path):
     rows = [(0, 5), (3, 4), (7, 2), (20, 5), (25, 1), (4000, 1), (9000, 1)]
-    df = spark.createDataFrame(rows, "s long, duration long").select(F.timestamp_seconds("s").alias("ts"), "duration")
-    for i, part in enumerate((df.where("ts < timestamp_seconds(4500)"), df.where("ts > timestamp_seconds(4500)"))):
+    df = spark.createDataFrame(rows, "s long, duration long").select(F.timestamp_seconds(F.col("s") + 100_000).alias("ts"), "duration", F.lit("c").alias("chrom"))
+    for part in (df.where("ts < timestamp_seconds(104500)"), df.where("ts > timestamp_seconds(104500)")):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "m"))
-        del i
-    stream = spark.readStream.schema("ts timestamp, duration long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "m"))
+    stream = spark.readStream.schema("ts timestamp, duration long, chrom string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "m"))
     got = drained(stream_merge(stream, delay="10 minutes"), "m1")
     spans = sorted((r.start.timestamp(), r.end.timestamp(), r["count"]) for r in got)
     assert [(e - s, n) for s, e, n in spans][:2] == [(9.0, 3), (6.0, 2)]

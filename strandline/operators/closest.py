@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.algebra import closest_distance, strand_matches
 from ..plans.rangejoin import Bins, range_join, with_row_id
-from ..plans.sweep import running
+from ..plans.sweep import resolve_tile, running
 
 
 def _with_neighbours(a: DataFrame, b: DataFrame, tile: int | None) -> DataFrame:
@@ -34,7 +34,7 @@ def closest(
     max_distance: int | None = None,
     strand: str | None = None,
     bins: Bins | None = None,
-    tile: int | None = None,
+    tile: int | str | None = "auto",
 ) -> DataFrame:
     """A, ``b_*``, ``distance`` and ``signed_distance`` (negative upstream) of the nearest rows of ``b``.
 
@@ -48,7 +48,7 @@ def closest(
     if strand is not None:
         return _by_strand(a, b, strand, tie, ignore_overlapping, ignore_upstream, ignore_downstream, max_distance, bins, tile)
     columns, others = a.columns, [f"b_{c}" for c in b.columns]
-    keyed = _with_neighbours(with_row_id(a), b, tile)
+    keyed = _with_neighbours(with_row_id(a), b, resolve_tile(tile, a, b))
     if ignore_overlapping:
         hits = None
         alone = keyed

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.sweep import depth_segments
+from ..plans.sweep import depth_segments, resolve_tile
 from ..sources.genome import small_genome
 
 MODES = ("hist", "bg", "bga", "per_base")
 
 
-def genomecov(df: DataFrame, genome: DataFrame, mode: str = "hist", scale: float = 1.0, tile: int | None = None) -> DataFrame:
+def genomecov(df: DataFrame, genome: DataFrame, mode: str = "hist", scale: float = 1.0, tile: int | str | None = "auto") -> DataFrame:
     """Depth of ``df`` over ``genome``; positions beyond a chromosome's end are cut off.
 
     hist: chrom, depth, bases, size, fraction for each chromosome and 'genome'; bg: runs of equal depth above 0;
@@ -23,7 +23,7 @@ def genomecov(df: DataFrame, genome: DataFrame, mode: str = "hist", scale: float
     genome = genome.where("size > 0")
     inside = df.select("chrom", "start", "end").join(small_genome(genome), "chrom").select("chrom", F.least("start", "size").alias("start"), F.least("end", "size").alias("end"))
     ends = genome.select("chrom", F.explode(F.array(F.lit(0).cast("long"), "size")).alias("pos"))
-    runs = depth_segments(inside, ["chrom"], ends, tile)
+    runs = depth_segments(inside, ["chrom"], ends, resolve_tile(tile, df))
     if mode == "hist":
         each = runs.groupBy("chrom", "depth").agg(F.sum(F.col("end") - F.col("start")).alias("bases"))  # few rows from here on
         sized = each.join(small_genome(genome), "chrom").select("chrom", "depth", "bases", "size")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .multiinter import joint_segments
 
 
-def jaccard(a: DataFrame, b: DataFrame, tile: int | None = None) -> DataFrame:
+def jaccard(a: DataFrame, b: DataFrame, tile: int | str | None = "auto") -> DataFrame:
     """One row: bases in both, bases in either, their ratio (0 if none), and the number of maximal runs in both."""
     runs = joint_segments([a, b], tile, coalesce=True)
     size = F.col("end") - F.col("start")

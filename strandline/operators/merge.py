@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.sweep import islands
+from ..plans.sweep import islands, resolve_tile
 
 OPERATIONS = {
     "sum": F.sum, "min": F.min, "max": F.max, "mean": F.avg, "median": F.median, "count": F.count, "count_distinct": F.countDistinct,
@@ -36,7 +36,7 @@ def merge(
     operations: dict[str, str | list[str]] | None = None,
     delimiter: str = ",",
     records: bool = False,
-    tile: int | None = None,
+    tile: int | str | None = "auto",
 ) -> DataFrame:
     """Hulls of rows that follow within ``distance`` (0 merges touching rows).
 
@@ -56,7 +56,7 @@ def merge(
         turns = df.withColumn("_turn", F.when(F.col("strand").eqNullSafe(F.lag("strand").over(w)), 0).otherwise(1))
         df = turns.withColumn("_turn", F.sum("_turn").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         by = ["chrom", "strand", "_turn"]
-    marked = islands(df, by, distance, tile)
+    marked = islands(df, by, distance, resolve_tile(tile, df))
     aggregates = [F.min("start").alias("start"), F.max("end").alias("end")]
     if count:
         aggregates.append(F.count("*").alias("count"))

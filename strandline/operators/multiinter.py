@@ -7,15 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.sweep import following, running
+from ..plans.sweep import following, resolve_tile, running
 
 
-def joint_segments(sets: Sequence[DataFrame], tile: int | None = None, coalesce: bool = False) -> DataFrame:
+def joint_segments(sets: Sequence[DataFrame], tile: int | str | None = "auto", coalesce: bool = False) -> DataFrame:
     """``chrom, start, end, c1 .. cN``: rows of each set over each segment between positions where a row begins or ends.
 
     ``coalesce`` joins neighbours in which each set is present or absent alike (counts are then 0 or 1).
     """
-    n = len(sets)
+    n, tile = len(sets), resolve_tile(tile, *sets)
     parts = None
     for i, df in enumerate(sets):
         one = df.where("start < end").select("chrom", F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).cast("long").alias("delta")), F.struct(F.col("end").alias("pos"), F.lit(-1).cast("long").alias("delta")))).alias("x")).select("chrom", "x.pos", F.lit(i).alias("set"), "x.delta")
@@ -33,7 +33,7 @@ def joint_segments(sets: Sequence[DataFrame], tile: int | None = None, coalesce:
     return following(counts, ["chrom"], "pos", "_next", tile).where("_next IS NOT NULL").select("chrom", F.col("pos").alias("start"), F.col("_next").alias("end"), *names)
 
 
-def multiinter(sets: Sequence[DataFrame], cluster: bool = False, tile: int | None = None) -> DataFrame:
+def multiinter(sets: Sequence[DataFrame], cluster: bool = False, tile: int | str | None = "auto") -> DataFrame:
     """``chrom, start, end, n, list, set1 .. setN``: segments that one set at least (``cluster``: every set) covers.
 
     Segments are cut wherever a row begins or ends; ``list`` has the numbers of the sets from 1, setI is 0 or 1.

@@ -1,7 +1,7 @@
 """Sweeps: running sums and maxima along a chromosome, by tile where there are many rows.
 
-A window over a whole chromosome is one task for each chromosome. With ``tile`` set, rows
-fall into tiles of positions; what each tile adds to a running value is summed up in a small table
+A window over a whole chromosome is one task for each chromosome. With ``tile`` set (operators set it by
+themselves where the plan's size estimate is large), rows fall into tiles of positions; what each tile adds to a running value is summed up in a small table
 (a row for each tile), accumulated there, and handed to the tile's rows as its start. Windows are
 then over (chromosome, tile), so a genome of any size has as many tasks as tiles.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TILE_ROWS = 2_000_000
+AUTO_BYTES = 1 << 30
 
 
 def choose_tile(df: DataFrame, by: Sequence[str], at: str, tile_rows: int = TILE_ROWS) -> int | None:
@@ -24,6 +25,24 @@ def choose_tile(df: DataFrame, by: Sequence[str], at: str, tile_rows: int = TILE
     return max(1, int(top["w"] / (top["n"] / tile_rows)))
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def resolve_tile(tile: int | str | None, *frames: DataFrame, by: Sequence[str] = ("chrom",)) -> int | None:
+    """``tile``, or for 'auto' none below ``AUTO_BYTES`` of input and else the width that ``choose_tile`` finds."""
+    if tile != "auto":
+        return tile
+    if sum(map(plan_bytes, frames)) < AUTO_BYTES:
+        return None
+    rows = None
+    for df in frames:
+        one = df.select(*by, "start")
+        rows = one if rows is None else rows.unionByName(one)
+    return choose_tile(rows, by, "start")
+
+
 def running(df: DataFrame, by: Sequence[str], order: Sequence[str], values: dict[str, tuple[str, Column]], tile: int | None = None, before: bool = False, reverse: bool = False) -> DataFrame:
     """``df`` with running values along ``order`` (its first column is the position).
 

@@ -1,8 +1,8 @@
 """Benchmark decontamination by template windows.
 
-Words become template tokens: those with a digit and number words ``<NUM>``, a unit after a number
-``<UNIT>``, a capitalised word inside a sentence ``<NAME>``, the rest their letters and digits in
-lower case. Windows of five template tokens of documents and benchmark items meet in a
+Words (runs of letters and digits) become template tokens: those with a digit and number words
+``<NUM>``, a unit after a number ``<UNIT>``, a capitalised word inside a sentence ``<NAME>``, the rest
+themselves in lower case. Windows of five template tokens of documents and benchmark items meet in a
 hash join; windows of fewer than two plain words tell nothing and are left out, unless an item has no
 others. A document holds an item
 
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WINDOW, PERCENT, RUN, PLAIN = 5, 80, 9, 2
 MOST_BROADCAST = 1_000_000
 
@@ -29,65 +31,90 @@ UNITS = "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles mete
 NUMBERS = "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
 
 
-def _tokens(text: Column) -> Column:
-    """Array of (raw, template) structs."""
-    words = F.filter(F.split(text, r"[\x09-\x0D\x20]+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))
-    core = F.transform(words, lambda w: F.struct(w.alias("w"), F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]+", "")).alias("r")))
-    return core
+SPACE = r"\x09-\x0D\x20"
+NAME_MARK = "\x01"
+NAME_AT = rf"([^.!?:{SPACE}])([{SPACE}]+[^\p{{L}}{SPACE}]*)(\p{{Lu}})"  # a capital inside a sentence
+BETWEEN = rf"[^\p{{L}}\p{{N}}{NAME_MARK}]+"
+
+
+def _marked(text: Column) -> Column:
+    """Lower case, with a mark before words that were capitalised inside a sentence."""
+    return F.lower(F.regexp_replace(text, NAME_AT, f"$1$2{NAME_MARK}$3"))
+
+
+def _words(marked: Column) -> Column:
+    return F.array_remove(F.split(marked, BETWEEN), "")
+
 
+def _quoted(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
 
-_IS_NUMBER = "({0} rlike '[0-9]' OR {0} IN (" + ", ".join(f"'{u}'" for u in NUMBERS) + "))"
-_IS_UNIT = "{0} IN (" + ", ".join(f"'{u}'" for u in UNITS) + ")"
+
+def _template(words: str, wrap: str = "{}") -> Column:
+    """Template tokens of the array ``words``, in which every digit is 0."""
+    number = lambda x: f"(contains({x}, '0') OR {x} IN ({_quoted(NUMBERS)}))"
+    kind = f"""CASE WHEN {number("x")} THEN '<NUM>' WHEN i > 0 AND x IN ({_quoted(UNITS)}) AND {number(f"{words}[i - 1]")} THEN '<UNIT>'
+      WHEN startswith(x, '{NAME_MARK}') THEN '<NAME>' ELSE x END"""
+    return F.expr(f"transform({words}, (x, i) -> {wrap.format(kind)})")
+
+
+def _zeroed(x: Column) -> Column:
+    return F.translate(x, "123456789", "000000000")
 
 
 def tokenised(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
     """``name, raw, template``: arrays of equal length."""
-    core = df.select(F.col(key).alias(name), _tokens(F.col(text).cast("string")).alias("c")).where("size(c) > 0")
-    number, unit = _IS_NUMBER.format("x.r"), _IS_UNIT.format("x.r")
-    before = _IS_NUMBER.format("c[i - 1].r")
-    template = f"""transform(c, (x, i) -> CASE
-      WHEN {number} THEN '<NUM>'
-      WHEN i > 0 AND {unit} AND {before} THEN '<UNIT>'
-      WHEN i > 0 AND x.w rlike '^[^\\\\p{{L}}]*\\\\p{{Lu}}' AND NOT c[i - 1].w rlike '[.!?:]$' THEN '<NAME>'
-      ELSE x.r END)"""
-    return core.select(name, F.expr("c.r").alias("raw"), F.expr(template).alias("template"))
-
-
-def _windows(tokens: DataFrame, name: str, size: str, with_plain: bool) -> DataFrame:
-    """``name, n, at, h, literal, slots, kinds``; slots is null for windows without placeholders."""
-    cut = f"""explode(transform(sequence(0, size(raw) - n), i -> named_struct(
-      'at', i, 'h', xxhash64(n, slice(template, i + 1, n)), 'literal', xxhash64(n, slice(raw, i + 1, n)),
-      'slots', CASE WHEN exists(slice(template, i + 1, n), t -> t LIKE '<%') THEN slice(raw, i + 1, n) END,
-      'plain', {"size(filter(slice(template, i + 1, n), t -> NOT t LIKE '<%'))" if with_plain else "-1"},
-      'kinds', {"slice(template, i + 1, n)" if with_plain else "CAST(NULL AS ARRAY<STRING>)"})))"""
-    rows = tokens.withColumn("n", F.expr(size)).where("size(raw) >= n")
-    return rows.select(name, "n", F.expr(cut).alias("x")).select(name, "n", "x.*")
+    marked = df.select(F.col(key).alias(name), _marked(F.col(text).cast("string")).alias("m"))
+    words = marked.select(name, _words(F.col("m")).alias("w"), _words(_zeroed(F.col("m"))).alias("z"))
+    return words.select(name, F.transform("w", lambda x: F.translate(x, NAME_MARK, "")).alias("raw"), _template("z").alias("template"))
 
 
 def item_windows(benchmark: DataFrame, window: int, key: str, text: str) -> DataFrame:
     """Windows of the benchmark with ``total``, the number of an item's windows that count."""
-    tokens = tokenised(benchmark, key, text, "item_id").where("item_id IS NOT NULL").dropDuplicates(["item_id"])
-    w = _windows(tokens, "item_id", f"least({window}, size(raw))", True)
-    counts = w.groupBy("item_id").agg(F.sum(F.when(F.col("plain") >= F.least(F.lit(PLAIN), F.col("n")), 1).otherwise(0)).alias("good"), F.count("*").alias("every"))
-    joined = w.join(counts, "item_id").where((F.col("plain") >= F.least(F.lit(PLAIN), F.col("n"))) | (F.col("good") == 0))
-    return joined.select("item_id", "n", F.col("at").alias("i_at"), "h", F.col("literal").alias("i_literal"), F.col("slots").alias("i_slots"), "kinds", F.when(F.col("good") > 0, F.col("good")).otherwise(F.col("every")).alias("total"))
+    tokens = tokenised(benchmark, key, text, "item_id").where("item_id IS NOT NULL AND size(raw) > 0").dropDuplicates(["item_id"]).withColumn("n", F.expr(f"least({window}, size(raw))"))
+    cut = """explode(transform(sequence(0, size(raw) - n), i -> named_struct('i_at', i, 'kinds', slice(template, i + 1, n), 'i_raw', slice(raw, i + 1, n),
+      'good', size(filter(slice(template, i + 1, n), t -> NOT t LIKE '<%')) >= least({}, n))))""".format(PLAIN)
+    w = tokens.select("item_id", "n", F.expr(cut).alias("x")).select("item_id", "n", "x.*")
+    counts = w.groupBy("item_id").agg(F.sum(F.col("good").cast("long")).alias("goods"), F.count("*").alias("every"))
+    joined = w.join(counts, "item_id").where("good OR goods = 0")
+    hashed = F.transform("kinds", lambda t: F.xxhash64(t))
+    return joined.select("item_id", "n", "i_at", "kinds", "i_raw", F.when(F.col("goods") > 0, F.col("goods")).otherwise(F.col("every")).alias("total"), hashed.alias("_h"))
+
+
+def _combined(array: str, n: int, at: str) -> str:
+    """Hash of ``n`` token hashes from place ``at``."""
+    return "xxhash64(" + ", ".join(f"{array}[{at} + {k}]" for k in range(n)) + ")"
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT, run: int = RUN, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``doc_id, item_id, matched, total, kind`` of each document and each item that it holds."""
+    """``doc_id, item_id, matched, total, kind`` of each document and each item that it holds.
+
+    All windows meet the benchmark as (place, hash) pairs; words are cut out again for the hits only.
+    """
     items = item_windows(benchmark, window, item_key, item_text)
-    tokens = tokenised(documents, key, text, "doc_id").where("doc_id IS NOT NULL")
     sizes = sorted(r["n"] for r in items.select("n").distinct().collect())  # at most ``window`` rows
+    if not sizes:
+        return documents.select(F.col(key).alias("doc_id"), F.lit(None).cast(benchmark.schema[item_key].dataType).alias("item_id"), F.lit(0).cast("long").alias("matched"), F.lit(0).cast("long").alias("total"), F.lit("").alias("kind")).where(F.lit(False))
     small = items.count() <= MOST_BROADCAST  # else the join is left to the planner
-    hits = None
+    known = documents.where(F.col(key).isNotNull())
+    words = known.select(F.col(key).alias("doc_id"), _words(_zeroed(_marked(F.col(text).cast("string")))).alias("z"))
+    hashes = words.select("doc_id", _template("z", "xxhash64({})").alias("t"))
+    met = None
     for n in sizes:
-        doc = _windows(tokens, "doc_id", str(n), False).select("doc_id", "at", "h", "literal", "slots")
-        own = items.where(F.col("n") == n).drop("n")
-        met = doc.join(F.broadcast(own) if small else own, "h")
-        hits = met if hits is None else hits.unionByName(met)
-    if hits is None:
-        return tokens.select("doc_id", F.lit(None).cast(benchmark.schema[item_key].dataType).alias("item_id"), F.lit(0).cast("long").alias("matched"), F.lit(0).cast("long").alias("total"), F.lit("").alias("kind")).where(F.lit(False))
-    hits = hits.select("doc_id", "item_id", "total", "i_at", (F.col("at") - F.col("i_at")).alias("shift"), (F.col("literal") == F.col("i_literal")).alias("same"), "slots", "i_slots", "kinds")
+        own = items.where(F.col("n") == n).select("item_id", "i_at", F.expr(_combined("_h", n, "0")).alias("h"))
+        # no filter on t: it would move below it and hash every text twice
+        places = F.expr(f"posexplode(CASE WHEN size(t) >= {n} THEN transform(sequence(0, size(t) - {n}), i -> {_combined('t', n, 'i')}) END)")
+        doc = hashes.select("doc_id", places).withColumnsRenamed({"pos": "at", "col": "h"})
+        hit = doc.join(F.broadcast(own) if small else own, "h").select("doc_id", "at", "item_id", "i_at")
+        met = hit if met is None else met.unionByName(hit)
+    met = cut(met)
+    again = known.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).join(met.select("doc_id").distinct(), "doc_id", "left_semi")
+    places = met.join(F.broadcast(items.drop("_h")) if small else items.drop("_h"), ["item_id", "i_at"])
+    listed = places.groupBy("doc_id").agg(F.collect_set(F.struct("at", "item_id", "i_at", "n", "total", "kinds", "i_raw")).alias("hits"))  # no more than a document has windows, for each item that shares them
+    raw = tokenised(again, "doc_id", "text", "doc_id").select("doc_id", "raw")
+    cut_out = F.expr("explode(transform(hits, x -> named_struct('x', x, 'raw', slice(raw, x.at + 1, x.n))))")
+    hits = raw.join(listed, "doc_id").select("doc_id", cut_out.alias("y")).select("doc_id", "y.x.*", "y.raw")
+    hits = hits.select("doc_id", "item_id", "total", "i_at", (F.col("at") - F.col("i_at")).alias("shift"), (F.col("raw") == F.col("i_raw")).alias("same"), F.col("raw").alias("slots"), F.col("i_raw").alias("i_slots"), "kinds")
     per_shift = hits.groupBy("doc_id", "item_id", "total", "shift").agg(
         F.size(F.collect_set("i_at")).alias("n"), F.collect_set(F.when(F.col("same"), F.col("i_at"))).alias("own"),
         F.array_distinct(F.flatten(F.collect_set(F.when(F.col("slots").isNotNull(), F.expr("filter(arrays_zip(kinds, i_slots, slots), x -> x.kinds LIKE '<%')"))))).alias("pairs"),
@@ -114,14 +141,13 @@ def oracle() -> str:
     """The same over DuckDB views."""
     listed = lambda words: ", ".join(f"'{w}'" for w in words)
     number = lambda x: f"(regexp_matches({x}, '[0-9]') OR {x} IN ({listed(NUMBERS)}))"
-    template = f"""list_transform(range(1, len(w) + 1), lambda i: CASE WHEN {number("r[i]")} THEN '<NUM>'
-      WHEN i > 1 AND r[i] IN ({listed(UNITS)}) AND {number("r[i - 1]")} THEN '<UNIT>'
-      WHEN i > 1 AND regexp_matches(w[i], '^[^\\p{{L}}]*\\p{{Lu}}') AND NOT regexp_matches(w[i - 1], '[.!?:]$') THEN '<NAME>' ELSE r[i] END)"""
+    template = f"""list_transform(range(1, len(w) + 1), lambda i: CASE WHEN {number("w[i]")} THEN '<NUM>'
+      WHEN i > 1 AND w[i] IN ({listed(UNITS)}) AND {number("w[i - 1]")} THEN '<UNIT>' WHEN starts_with(w[i], chr(1)) THEN '<NAME>' ELSE w[i] END)"""
 
     def tokens(name: str, key: str, source: str) -> str:
-        return f"""{name}_w AS (SELECT {key}, list_filter(string_split_regex(text, '[\\x09-\\x0D\\x20]+'), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) AS w FROM {source} WHERE {key} IS NOT NULL),
-{name}_r AS (SELECT *, list_transform(w, lambda x: lower(regexp_replace(x, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))) AS r FROM {name}_w WHERE len(w) > 0),
-{name} AS (SELECT {key}, r, {template} AS t FROM {name}_r)"""
+        marked = f"lower(regexp_replace(text, '{NAME_AT}', '\\1\\2' || chr(1) || '\\3', 'g'))"
+        return f"""{name}_w AS (SELECT {key}, list_filter(string_split_regex({marked}, '[^\\p{{L}}\\p{{N}}\\x01]+'), lambda x: x <> '') AS w FROM {source} WHERE {key} IS NOT NULL),
+{name} AS (SELECT {key}, list_transform(w, lambda x: replace(x, chr(1), '')) AS r, {template} AS t FROM {name}_w WHERE len(w) > 0)"""
 
     return f"""
 WITH {tokens("item", "item_id", "(SELECT item_id, any_value(text) AS text FROM benchmark GROUP BY item_id)")},

@@ -21,6 +21,8 @@ dropped goes (``keep_empty=True`` keeps it, empty); very long lines are read who
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,83 +30,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MIX_A, MIX_C, Words, cut, mixed, partitions_for, stored
+from .common import cut, partitions_for, stored
 
 LEAD, SIMILAR, MIN_TOKENS, MIN_DOCS, LEAF = 3, 80, 5, 2, 20_000
-BLOOM = 1 << 25  # bits; it only saves work, whatever is in it
+BLOOM_SHIFT = 39
+BLOOM = 1 << (64 - BLOOM_SHIFT)  # bits; it only saves work, whatever is in it
+ANY = b"<*>"
 
 
-def _masked(token: bytes) -> tuple[int]:
-    """Hash of a token; every token with a digit is one and the same."""
-    return (1,) if any(48 <= c <= 57 for c in token) else (xxhash.xxh3_64_intdigest(token.lower()) | 2,)
+_DIGIT = re.compile(rb"[0-9]")
 
 
-def parse(text: str, words: Words):
-    """(line numbers, token offsets, token hashes) of the lines that hold a token."""
-    lines = [x.split() for x in text.encode().split(b"\n")]
-    numbers = [i for i, x in enumerate(lines) if x]
-    offsets = np.concatenate([[0], np.cumsum([len(lines[i]) for i in numbers])]).astype(np.int64)
-    tokens = [t for x in lines for t in x]
-    return numbers, offsets, words.numbers(tokens)[:, 0] if tokens else np.zeros(0, np.uint64)
+def parse(text: str, least: int):
+    """(line number, tokens) of the lines of ``least`` tokens or more; tokens with a digit are all ``ANY``."""
+    low = text.encode().lower()
+    digits = _DIGIT.search(low) is not None
+    for i, line in enumerate(low.split(b"\n")):
+        tokens = line.split()
+        if len(tokens) >= least:
+            if digits and _DIGIT.search(line):
+                tokens = [ANY if _DIGIT.search(t) else t for t in tokens]
+            yield i, tokens
 
 
-def _hashes(offsets: np.ndarray, tokens: np.ndarray, lead: int):
-    """(leaf, line) hashes of each line."""
-    n = np.diff(offsets)
-    place = np.arange(len(tokens)) - np.repeat(offsets[:-1], n)
-    line = np.add.reduceat(mixed(tokens * MIX_A + place.astype(np.uint64) * MIX_C), offsets[:-1])
-    leaf = mixed(n.astype(np.uint64))
-    for k in range(lead):
-        has = n > k
-        leaf[has] = mixed((leaf[has] ^ tokens[offsets[:-1][has] + k]) * MIX_A)
-    leaf |= np.uint64(1)
-    return leaf.astype(np.int64), (line ^ leaf).astype(np.int64)
+def _leaf(tokens: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b"%d " % len(tokens) + b" ".join(tokens[:LEAD]))
 
 
-_LINES = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("leaf", pa.int64()), ("line", pa.int64()), ("tokens", pa.binary())])
+def _hashed(tokens: list[bytes]) -> bytes:
+    """64-bit hashes of tokens, never 0."""
+    return np.array([xxhash.xxh3_64_intdigest(t) | 1 for t in tokens], np.uint64).tobytes()
 
 
-def _bits_of(leaf: np.ndarray) -> np.ndarray:
-    return (mixed(leaf.view(np.uint64) * MIX_A) % np.uint64(BLOOM)).astype(np.int64)
+_LINES = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("leaf", pa.int64()), ("line", pa.int64()), ("tokens", pa.binary())])
 
 
 def _bitmap(batches):
     """One fixed-size bit map of the leaves of a task."""
     seen = np.zeros(BLOOM, bool)
     for batch in batches:
-        seen[_bits_of(batch.column(0).to_numpy().astype(np.int64))] = True
-    yield pa.record_batch({"bits": pa.array([np.packbits(seen).tobytes()], pa.binary())})
+        seen[(batch.column(0).to_numpy().astype(np.int64).view(np.uint64) >> np.uint64(BLOOM_SHIFT)).astype(np.int64)] = True
+    yield pa.record_batch({"bits": pa.array([np.packbits(seen, bitorder="little").tobytes()], pa.binary())})
 
 
-def _lines(min_tokens: int, lead: int, likely=None):
+def _lines(min_tokens: int, likely=None):
     """Rows of the worded lines; with ``likely`` (a broadcast bit map) only of leaves that may be in it, with their tokens."""
 
     def run(batches):
-        words = Words(_masked, 1)
-        wanted = None if likely is None else np.unpackbits(likely.value).astype(bool)
+        bits = None if likely is None else likely.value
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            cols: list[list] = [[], [], [], []]
-            blobs: list = []
-            for i in range(len(ids)):
-                text, doc = texts[i].as_py(), ids[i].as_py()
+            docs, numbers, leaves, lines, blobs = [], [], [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
                 if not text or doc is None:
                     continue
-                numbers, offsets, tokens = parse(text, words)
-                if not numbers:
-                    continue
-                leaf, line = _hashes(offsets, tokens, lead)
-                use = np.diff(offsets) >= min_tokens
-                use = np.flatnonzero(use if wanted is None else use & wanted[_bits_of(leaf)])
-                if not len(use):
-                    continue
-                for c, v in zip(cols, (np.full(len(use), doc), np.array(numbers, np.int32)[use], leaf[use], line[use]), strict=True):
-                    c.append(v)
-                if wanted is not None:
-                    blobs += [tokens[offsets[k] : offsets[k + 1]].tobytes() for k in use]
-            n = sum(map(len, cols[0]))
-            arrays = [pa.array(np.concatenate(c) if c else [], f.type) for c, f in zip(cols, _LINES, strict=False)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(blobs, pa.binary()) if wanted is not None else pa.nulls(n, pa.binary())], schema=_LINES)
+                for i, tokens in parse(text, min_tokens):
+                    leaf = _leaf(tokens)
+                    if bits is not None:
+                        at = leaf >> BLOOM_SHIFT
+                        if not bits[at >> 3] >> (at & 7) & 1:
+                            continue
+                        blobs.append(_hashed(tokens))
+                    docs.append(doc)
+                    numbers.append(i)
+                    leaves.append(leaf)
+                    lines.append(digest(b" ".join(tokens)))
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), signed(leaves), signed(lines), pa.array(blobs, pa.binary()) if bits is not None else pa.nulls(len(docs), pa.binary())], schema=_LINES)
 
     return run
 
@@ -173,8 +166,8 @@ def templates(lines: DataFrame, similar: int, n: int, min_tokens: int, texts: Da
     bits = np.zeros(BLOOM // 8, np.uint8)
     for row in maps:
         bits |= np.frombuffer(row["bits"], np.uint8)
-    likely = texts.sparkSession.sparkContext.broadcast(bits)
-    with_tokens = texts.mapInArrow(_lines(min_tokens, LEAD, likely), _SQL_LINES).join(open_, "leaf").groupBy("leaf", "line", "n").agg(F.first("tokens").alias("tokens"))
+    likely = texts.sparkSession.sparkContext.broadcast(bits.tobytes())
+    with_tokens = texts.mapInArrow(_lines(min_tokens, likely), _SQL_LINES).join(open_, "leaf").groupBy("leaf", "line", "n").agg(F.first("tokens").alias("tokens"))
     deeper = F.when(F.col("n") <= LEAF, LEAD).when(F.col("n") <= LEAF * 50, LEAD + 2).otherwise(LEAD + 7)
     group = F.xxhash64("leaf", F.substring(F.col("tokens"), F.lit(1), deeper * 8))
     met = with_tokens.select(group.alias("group"), "line", "tokens").repartition(n, "group").sortWithinPartitions("group", "line")
@@ -185,7 +178,7 @@ def recurring(documents: DataFrame, similar: int = SIMILAR, min_tokens: int = MI
     """``doc_id, line_no, template`` of every line to drop."""
     n = partitions_for(documents.sparkSession)
     texts = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    lines = stored(texts.mapInArrow(_lines(min_tokens, LEAD), _SQL_LINES).drop("tokens"), "lines")
+    lines = stored(texts.mapInArrow(_lines(min_tokens), _SQL_LINES).drop("tokens"), "lines")
     joined = cut(templates(lines, similar, n, min_tokens, texts))
     # a hot line is one row per task after the partial aggregation, here and below
     named = lines.select("doc_id", "line").groupBy("line").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
@@ -222,9 +215,10 @@ def _dropper(at_text: int, at_drop: int, keep_empty: bool, names: list[str]):
 
 def line_dedup(documents: DataFrame, similar: int = SIMILAR, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, keep_empty: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents`` with recurring lines taken out of ``text``."""
-    schema = documents.schema
-    drops = recurring(documents, similar, min_tokens, min_docs, key, text).groupBy("doc_id").agg(F.collect_set("line_no").alias("_drop_lines")).withColumnRenamed("doc_id", "_drop_id")
-    met = documents.join(drops, documents[key].cast("long") == drops["_drop_id"], "left").drop("_drop_id")
+    schema, names = documents.schema, set(documents.columns)
+    own_id, own_lines = (next(f"{n}{i}" for i in range(len(names) + 1) if f"{n}{i}" not in names) for n in ("_drop_id", "_drop_lines"))
+    drops = recurring(documents, similar, min_tokens, min_docs, key, text).groupBy(F.col("doc_id").alias(own_id)).agg(F.collect_set("line_no").alias(own_lines))
+    met = documents.join(drops, documents[key].cast("long") == drops[own_id], "left").drop(own_id)
     at = met.columns.index(text)
     run = _dropper(at, len(met.columns) - 1, keep_empty, documents.columns)
     out = T.StructType([T.StructField(f.name, T.StringType() if f.name == text else f.dataType, True) for f in schema])

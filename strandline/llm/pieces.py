@@ -18,7 +18,6 @@ is a key of its own; other columns are kept as they are.
 
 from __future__ import annotations
 
-import os
 import re
 
 import numpy as np
@@ -35,6 +34,7 @@ SPACE = "▁"
 LONGEST_WORD = 48
 CHUNK = re.compile(r"\n| ?[^ \n]{1,%d}| " % LONGEST_WORD)
 WORDS_AT_ONCE = 200_000
+TOP = np.uint32(0xFFFFFFFF)
 
 
 class Vocabulary:
@@ -63,15 +63,6 @@ class Vocabulary:
         return text[1:] if text else text
 
 
-def _window(codes: np.ndarray, h: np.ndarray | None, length: int) -> np.ndarray:
-    """Rolling hashes of the ``length`` codes up to each place from those of ``length - 1``."""
-    if h is None:
-        return mixed(codes.astype(np.uint64) + np.uint64(1))
-    out = np.zeros(len(codes), np.uint64)
-    out[length - 1 :] = mixed(h[length - 2 : -1] * MIX_A + codes[length - 1 :].astype(np.uint64) + np.uint64(1))
-    return out
-
-
 class Lattices:
     """Arcs of the words met so far, in flat arrays; emptied at ``limit`` nodes, which changes no result.
 
@@ -80,20 +71,20 @@ class Lattices:
     from, -1: the start) and ``code`` (piece, or size + n for the n-th character spelled in several bytes).
     """
 
-    def __init__(self, vocabulary: Vocabulary, alpha: float = ALPHA, limit: int = 1_000_000):
+    def __init__(self, vocabulary: Vocabulary, alpha: float = ALPHA, limit: int = 2_000_000):
         self.v, self.limit = vocabulary, limit
         ids = np.array(list(vocabulary.ids.values()), np.int64)
         keys = np.zeros(len(ids), np.uint64)
-        for i, text in enumerate(vocabulary.ids):
-            h = None
-            codes = np.array(list(map(ord, text)), np.uint32)
-            for length in range(1, len(codes) + 1):
-                h = _window(codes, h, length)
-            keys[i] = h[-1] + np.uint64(len(codes))
+        texts = [np.array(list(map(ord, t)), np.uint64) + np.uint64(1) for t in vocabulary.ids]
+        for n in range(1, vocabulary.longest + 1):  # hash of the first n characters of each piece
+            own = np.array([i for i, t in enumerate(texts) if len(t) >= n])
+            letter = np.array([texts[i][n - 1] for i in own])
+            keys[own] = mixed(letter) if n == 1 else mixed(keys[own] * MIX_A + letter)
+        keys += np.array([len(t) for t in texts], np.uint64)
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], ids[order]
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(self.keys >> np.uint64(42)).astype(np.int64)] = True
+        self.bits = np.zeros(1 << 19, bool)  # rules most windows out
+        self.bits[(self.keys >> np.uint64(45)).astype(np.int64)] = True
         self.weights = -alpha * np.log(np.arange(vocabulary.size) + 2.0)
         self.byte_weight = -alpha * np.log(vocabulary.size + 2.0)
         self.wide: dict[int, int] = {}
@@ -102,9 +93,10 @@ class Lattices:
 
     def reset(self) -> None:
         self.end: dict[str, int] = {}
-        self.nodes = 0
-        self.start = np.zeros(1, np.int64)
-        self.cdf, self.before, self.code = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.nodes = self.arcs = 0
+        self.new: list[tuple] = []  # arrays still to be appended
+        self.start = np.zeros(1, np.int32)
+        self.cdf, self.before, self.code = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _spelled(self, char: int) -> int:
         b = chr(char).encode()
@@ -129,13 +121,18 @@ class Lattices:
         spelled = np.array([self._spelled(int(c)) for c in letters], np.int32)
         width = np.array([len(chr(int(c)).encode()) for c in letters])
         arcs = [(np.arange(len(codes)), np.ones(len(codes), np.int64), self.byte_weight * width[which], spelled[which])]  # the rest comes before: long pieces are likelier
-        h = None
+        h, ends, wide = np.zeros(len(codes), np.uint64), np.arange(len(codes)), codes.astype(np.uint64) + np.uint64(1)
         for n in range(1, longest + 1):
-            h = _window(codes, h, n)
-            key = h + np.uint64(n)
-            hit = np.flatnonzero(self.bits[(key >> np.uint64(42)).astype(np.int64)] & (place >= n - 1))
-            at = np.minimum(np.searchsorted(self.keys, key[hit]), len(self.keys) - 1)
-            good = self.keys[at] == key[hit]
+            if n > 1:
+                ends = ends[place[ends] >= n - 1]
+                h[ends] = mixed(h[ends - 1] * MIX_A + wide[ends])
+            else:
+                h = mixed(wide)
+            key = h[ends] + np.uint64(n)
+            may = np.flatnonzero(self.bits[(key >> np.uint64(45)).astype(np.int64)])
+            key, hit = key[may], ends[may]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            good = self.keys[at] == key
             hit, ids = hit[good], self.key_ids[at[good]]
             arcs.insert(0, (hit, np.full(len(hit), n), self.weights[ids], ids.astype(np.int32)))
         node, span, weight, code = (np.concatenate(x) for x in zip(*arcs, strict=True))
@@ -157,12 +154,10 @@ class Lattices:
         last = np.cumsum(n_arcs)
         q = np.rint(weight * 2.0**32).astype(np.int64)  # integers add up alike wherever a word stands
         run = np.cumsum(q)
-        cdf = (run - np.repeat(run[last - n_arcs] - q[last - n_arcs], n_arcs)) * 2.0**-32
-        cdf[last - 1] = 1.0
-        self.cdf = np.concatenate([self.cdf, cdf])
-        self.before = np.concatenate([self.before, np.where(came < 0, -1, came + self.nodes).astype(np.int32)])
-        self.code = np.concatenate([self.code, code])
-        self.start = np.concatenate([self.start, self.start[-1] + last])
+        cdf = np.minimum(run - np.repeat(run[last - n_arcs] - q[last - n_arcs], n_arcs), TOP).astype(np.uint32)
+        cdf[last - 1] = TOP
+        self.new.append((cdf, np.where(came < 0, -1, came + self.nodes).astype(np.int32), code, (self.arcs + last).astype(np.int32)))
+        self.arcs += int(last[-1])
         for w, e in zip(words, (starts + lengths - 1 + self.nodes).tolist(), strict=True):
             self.end[w] = e
         self.nodes += len(codes)
@@ -174,6 +169,10 @@ class Lattices:
         new = list({w: None for w in words if w not in self.end})
         for at in range(0, len(new), 20_000):
             self._add(new[at : at + 20_000])
+        if self.new:
+            have = self.cdf, self.before, self.code, self.start
+            self.cdf, self.before, self.code, self.start = (np.concatenate([a, *b]) for a, b in zip(have, zip(*self.new, strict=True), strict=True))
+            self.new = []
         return np.fromiter(map(self.end.__getitem__, words), np.int64, len(words))
 
     def sample(self, words: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,8 +181,9 @@ class Lattices:
         alive, steps = np.arange(len(words)), []
         counts = np.zeros(len(words), np.int64)
         while len(alive):
-            u = (mixed(keys[alive] + np.uint64((int(MIX_A) * (len(steps) + 1)) & (2**64 - 1))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            arc = self.start[node]
+            u = (mixed(keys[alive] + np.uint64((int(MIX_A) * (len(steps) + 1)) & (2**64 - 1))) >> np.uint64(32)).astype(np.uint32)
+            u = np.minimum(u, TOP - np.uint32(1))
+            arc = self.start[node].astype(np.int64)
             late = np.flatnonzero(self.cdf[arc] <= u)
             while len(late):
                 arc[late] += 1
@@ -240,7 +240,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", to: str = "pi
     def run(batches):
         lattices = Lattices(Vocabulary(packed.value), alpha)
         for batch in batches:
-            texts, keys, out = batch.column(at_text), batch.column(at_key), []
+            texts, keys = batch.column(at_text), batch.column(at_key)
             held, seeds, size = [], [], 0
             for i in range(len(texts)):
                 t = texts[i].as_py()
@@ -248,9 +248,9 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", to: str = "pi
                 seeds.append(_key(keys[i].as_py(), seed))
                 size += len(t or "")
                 if size >= 6 * WORDS_AT_ONCE or i == len(texts) - 1:
-                    out += lattices.segment(held, seeds)
+                    rows = batch.slice(i + 1 - len(held), len(held))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lattices.segment(held, seeds), pa.list_(pa.int32()))], names=schema.names)
                     held, seeds, size = [], [], 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=schema.names)
 
     return df.mapInArrow(run, schema)
 

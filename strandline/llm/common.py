@@ -138,8 +138,9 @@ def ascii_words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def plain(word: bytes) -> tuple[int]:
-    return (xxhash.xxh3_64_intdigest(word),)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words; hashing anew is cheaper than a table of all words."""
+    return np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, mixed, remainder, sample_fraction
+from .common import MIX_A, remainder, sample_fraction
 
 BITS, MAX_N = 16, 4
 MAX_ROWS, LANDMARKS, RIDGE = 4000, 240, 1e-2

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, Words, ascii_words, cut, fresh_dir, local_path, mixed, open_input, open_output, plain, remainder
+from .common import MIX_A, ascii_words, cut, fresh_dir, local_path, mixed, open_input, open_output, remainder, word_hashes
 
 SHARD_TOKENS = 4_000_000
 FLUSH = 2_000_000
@@ -40,10 +40,10 @@ ROWS = "kind string, shard int, data binary"
 SCHEMA = pa.schema([("kind", pa.string()), ("shard", pa.int32()), ("data", pa.binary())])
 
 
-def token_hashes(text: str | None, words: Words) -> np.ndarray:
+def token_hashes(text: str | None) -> np.ndarray:
     """Hashes of the tokens of a text, the end token included."""
     tokens = ascii_words(text)
-    return np.append(words.numbers(tokens)[:, 0] if tokens else np.zeros(0, np.uint64), END)
+    return np.append(word_hashes(tokens), END)
 
 
 def gram(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -101,10 +101,10 @@ def _flush(tokens: list[np.ndarray], shards: int):
 
 def _counter(shards: int):
     def run(batches):
-        words, held, size = Words(plain, 1), [], 0
+        held, size = [], 0
         for batch in batches:
             for text in batch.column(0):
-                held.append(token_hashes(text.as_py(), words))
+                held.append(token_hashes(text.as_py()))
                 size += len(held[-1])
                 if size >= FLUSH:
                     yield _table(_flush(held, shards))
@@ -321,13 +321,13 @@ def score(documents: DataFrame, state: dict, key: str = "doc_id", text: str = "t
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches):
-        model, words = Model(held.value), Words(plain, 1)
+        model = Model(held.value)
         for batch in batches:
             texts = batch.column(1)
             out: list[list[np.ndarray]] = [[], [], [], []]
             part, size = [], 0
             for i in range(len(texts)):
-                part.append(token_hashes(texts[i].as_py(), words))
+                part.append(token_hashes(texts[i].as_py()))
                 size += len(part[-1])
                 if size >= flush or i == len(texts) - 1:
                     for o, v in zip(out, (np.array(list(map(len, part))), *model.score(part)), strict=True):

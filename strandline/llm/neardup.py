@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, MIX_B, MIX_C, Words, ascii_words, components, cut, partitions_for, plain, shingles, stored
+from .common import MIX_A, MIX_B, MIX_C, ascii_words, components, cut, partitions_for, shingles, stored, word_hashes
 
 TREES, DEPTH, MIN_DEPTH = 16, 8, 3
 HASHES = TREES * DEPTH
@@ -56,12 +56,11 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 def _sketcher(words_per_shingle: int):
     def run(batches):
-        words = Words(plain, 1)
         for batch in batches:
             counts, digests, sigs = [], [], []
             for text in batch.column(1):
                 tokens = ascii_words(text.as_py())
-                s = shingles(words.numbers(tokens)[:, 0], words_per_shingle) if tokens else np.zeros(0, np.uint64)
+                s = shingles(word_hashes(tokens), words_per_shingle) if tokens else np.zeros(0, np.uint64)
                 counts.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
@@ -208,21 +207,17 @@ def _cluster_region(least: float):
 
 def _confirm(words_per_shingle: int, percent: int, least: float):
     """Spanning links of a group, confirmed on full shingle sets."""
-    words = []
-
     def work(batches):
         ids = np.concatenate([b.column(1).to_numpy() for b in batches])
         if len(ids) < 2:
             return []
-        if not words:
-            words.append(Words(plain, 1))
         sig = np.concatenate([_signatures(b.column(2)) for b in batches])
         texts = [t for b in batches for t in b.column(3)]
         sets: dict[int, np.ndarray] = {}
 
         def of(i):
             if i not in sets:
-                sets[i] = shingles(words[0].numbers(ascii_words(texts[i].as_py()))[:, 0], words_per_shingle)
+                sets[i] = shingles(word_hashes(ascii_words(texts[i].as_py())), words_per_shingle)
             return sets[i]
 
         union, left, out = _Union(len(ids)), [], []

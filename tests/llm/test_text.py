@@ -100,7 +100,7 @@ LONG = " ".join(f"passage{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(6
 def test_line_dedup(spark):
     texts = [
         f"alpha beta gamma delta one\n{LONG}\nown line of the first text", f"{LONG}\nanother line that stands here alone", None, "", "short line", "short line",
-        "user 17 logged in from host 4", "user 99 logged in from host 123\n\nand a line of its own here", f"{LONG.replace('passageba', 'changed')}\nyet another line that is different",
+        "user 17 logged in from host 4", "user 99 logged in from host 123\n\nand a line of its own here", f"{LONG.replace('passageha', 'changed')}\nyet another line that is different",
         "wholly repeated text of some words", "wholly repeated text of some words", "in one text the same line\nin one text the same line",
     ]
     df = frame(spark, texts).withColumn("line", F.lit(1)).withColumn("_drop_lines", F.lit("x"))
@@ -178,7 +178,7 @@ def test_license(spark):
     assert got == {(0, "MIT", "text"): 1, (0, "MIT", "line"): 1, (1, "MIT", "line"): 1, (5, "Apache-2.0", "text"): 1, (5, "Apache-2.0", "line"): 1}
     own = spark.createDataFrame([("X", "Own text."), ("Y", "own  TEXT")], "license_id string, text string")
     assert license.license_scan(frame(spark, ["own text"]), own).count() == 4
-    assert license.license_scan(frame(spark, []) if False else frame(spark, ["a"]).where("false")).count() == 0
+    assert license.license_scan(frame(spark, ["a"]).where("false")).count() == 0
 
 
 ITEM = "A train with 12 wagons leaves Boston for Paris and needs 3 hours to travel 240 km before the driver called Tom stops the train with 12 wagons for good"

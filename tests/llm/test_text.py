@@ -202,8 +202,9 @@ def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     rng = random.Random(8)
-    clean = [" ".join(rng.choice(["sun", "moon", "star", "sky", "sea"]) + str(rng.randrange(10**6)).translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(40)) for _ in range(60)]
-    texts = clean + [clean[0], noisy(rng, clean[1].split(), 0.02)] + [f"{LONG}\n{x} again" for x in clean[2:4]] + [f"{' '.join(clean[4].split()[:20])} {ITEM}"] + ["vile scum words " + x for x in clean[5:9]]
+    clean = [" ".join(rng.choice(["sun", "moon", "star", "sky", "sea"]) + str(rng.randrange(10**6)).translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(40)) for _ in range(62)]
+    clean, extra = clean[:60], clean[60:]
+    texts = clean + [clean[0], noisy(rng, clean[1].split(), 0.02)] + [f"{LONG}\n{x}" for x in extra] + [f"{' '.join(clean[4].split()[:20])} {ITEM}"] + ["vile scum words " + x for x in clean[5:9]]
     toxic = set(range(len(texts) - 4, len(texts)))
     frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, int(i in toxic)) for i in range(len(texts))], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))

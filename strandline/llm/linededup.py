@@ -10,8 +10,11 @@ needs ``min_tokens`` tokens.
 
 Counting goes in two steps. Lines are first counted as hashes (leaf, line), pre-aggregated
 per task, which also tells the leaves that no second document has; only lines of leaves with several
-different lines and documents go on to template parsing. A leaf of more than ``LEAF`` different
-lines is parsed two tokens deeper, then by its whole first half, so no task gets an unbounded leaf.
+different lines and documents go on to template parsing. The depth is one at every size. A leaf of more
+than ``LEAF`` different lines is split into the components of lines that share a segment key, which loses
+nothing, and a component that is still larger is parsed in rounds: its first lines
+(by hash) in one task, then the rest against their templates in parts, so no task gets an
+unbounded leaf and every line joins the template that it would join in one task.
 
 Defined cases: a null text stays null and an empty one empty; blank lines are never dropped
 themselves; repeated rows of one doc_id are one document; ties go to the smaller doc_id, and
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, partitions_for, stored
+from .common import components, cut, partitions_for, stored
 
 LEAD, SIMILAR, MIN_TOKENS, MIN_DOCS, LEAF = 3, 80, 5, 2, 20_000
 BLOOM_SHIFT = 39
@@ -105,52 +108,76 @@ def _lines(min_tokens: int, likely=None):
 _SQL_LINES = "doc_id long, line_no int, leaf long, line long, tokens binary"
 
 
+def _segments(n: int, least: int, lead: int) -> np.ndarray:
+    """Cuts of the places after ``lead`` (where all agree): of two lines that agree in ``least`` of ``n`` places, one segment at least is equal."""
+    parts = n - least + 1 if n - least < n - lead else 1
+    return np.linspace(lead, n, parts + 1).astype(int) if parts > 1 else np.array([n, n])
+
+
+def _least(n: int, similar: int) -> int:
+    return -(-similar * n // 100)
+
+
 class Leaf:
-    """Templates of one leaf. Tokens are hashes; 0 is a variable place."""
+    """Templates of one leaf, all of whose lines agree in their first ``lead`` tokens. Tokens are hashes."""
 
-    def __init__(self, n: int, similar: int):
-        self.n, self.least = n, -(-similar * n // 100)
-        parts = min(n, n - self.least + 1)  # one part at least agrees wholly
-        self.cuts = np.linspace(0, n, parts + 1).astype(int)
+    def __init__(self, n: int, similar: int, lead: int = 0):
+        self.n, self.least = n, _least(n, similar)
+        self.cuts = _segments(n, self.least, min(lead, n))
         self.templates: list[np.ndarray] = []
         self.index: dict[tuple[int, bytes], list[int]] = {}
 
     def _keys(self, tokens):
         return [(p, tokens[a:b].tobytes()) for p, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True))]
 
-    def put(self, tokens: np.ndarray) -> int:
-        seen = set()
-        for key in (keys := self._keys(tokens)):
-            for t in self.index.get(key, ()):
-                if t in seen:
-                    continue
-                seen.add(t)
-                first = self.templates[t]
-                if (first == tokens).sum() >= self.least:
-                    return t
+    def find(self, tokens: np.ndarray) -> int:
+        """The first template that is similar enough, or -1."""
+        met = set()
+        for key in self._keys(tokens):
+            met.update(self.index.get(key, ()))
+        order = sorted(met)
+        for lo in range(0, len(order), 1024):
+            part = order[lo : lo + 1024]
+            fits = (np.stack([self.templates[t] for t in part]) == tokens).sum(1) >= self.least
+            if fits.any():
+                return part[int(fits.argmax())]
+        return -1
+
+    def add(self, tokens: np.ndarray) -> int:
         self.templates.append(tokens)
-        for key in keys:
+        for key in self._keys(tokens):
             self.index.setdefault(key, []).append(len(self.templates) - 1)
         return len(self.templates) - 1
 
+    def put(self, tokens: np.ndarray) -> int:
+        t = self.find(tokens)
+        return self.add(tokens) if t < 0 else t
+
+
+def _template_rows(similar: int, lead: int):
+    """(group, line, tokens, known) sorted by group and line in; (line, template) out.
 
-def _template_rows(similar: int):
-    """(group, line, tokens) sorted by group and line in; (line, template) out."""
+    Rows with ``known`` are templates already and come first; what joins none in a group that has them is left for a later round.
+    """
     schema = pa.schema([("line", pa.int64()), ("template", pa.int64())])
 
     def run(batches):
         group, leaf = None, None
         for batch in batches:
-            groups, lines = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            groups, lines, known = (batch.column(i).to_pylist() for i in (0, 1, 3))
             out = ([], [])
             for i, (g, line) in enumerate(zip(groups, lines, strict=True)):
                 tokens = np.frombuffer(batch.column(2)[i].as_py(), np.uint64)
                 if g != group:
-                    group, leaf, names = g, Leaf(len(tokens), similar), []
-                t = leaf.put(tokens)
+                    group, leaf, names, given = g, Leaf(len(tokens), similar, lead), [], known[i]
+                if known[i]:
+                    leaf.add(tokens)
+                    names.append(line)
+                    continue
+                t = leaf.find(tokens) if given else leaf.put(tokens)
                 if t == len(names):
                     names.append(line)
-                if names[t] != line:
+                if t >= 0 and names[t] != line:
                     out[0].append(line)
                     out[1].append(names[t])
             yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], schema=schema)
@@ -158,6 +185,57 @@ def _template_rows(similar: int):
     return run
 
 
+def _parsed(rows: DataFrame, similar: int, n: int) -> DataFrame:
+    """``line, template`` of rows (group, line, tokens, known), a group in one task."""
+    met = rows.select("group", "line", "tokens", "known").repartition(n, "group").sortWithinPartitions("group", F.col("known").desc(), "line")
+    return met.mapInArrow(_template_rows(similar, LEAD), "line long, template long")
+
+
+def _segment_rows(similar: int, lead: int):
+    """(leaf, line, tokens) in; (key, line) of each segment out."""
+    schema = pa.schema([("key", pa.int64()), ("line", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            keys, lines = [], []
+            for leaf, line, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                n = len(blob) // 8
+                cuts = _segments(n, _least(n, similar), min(lead, n))
+                for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                    keys.append(xxhash.xxh3_64_intdigest(b"%d %d " % (leaf, p) + blob[8 * a : 8 * b]))
+                    lines.append(line)
+            yield pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(lines, pa.int64())], schema=schema)
+
+    return run
+
+
+def _parsed_large(rows: DataFrame, similar: int, n: int, size: int) -> DataFrame:
+    """``line, template`` of rows (leaf, line, tokens) of leaves of more than ``size`` lines, no more than about twice ``size`` in a task."""
+    rows = stored(rows, "large")
+    keys = stored(rows.mapInArrow(_segment_rows(similar, LEAD), "key long, line long"), "segments")
+    first = keys.groupBy("key").agg(F.min("line").alias("a"))
+    roots = components(keys.join(first, "key").select(F.col("line").alias("b"), "a")).select(F.col("node").alias("line"), F.col("root").alias("group"))
+    rest = stored(rows.join(roots.distinct(), "line").select("group", "line", "tokens"), "rest")  # a line alone is its own template
+    found = None
+    while True:
+        sizes = cut(rest.groupBy("group").agg(F.count("*").alias("m"), F.min("line").alias("lo"), F.max("line").alias("hi")))
+        if sizes.isEmpty():
+            return found
+        # hashes are evenly spread: the lines up to the bound are about ``size``, and one at least
+        bound = F.when(F.col("m") > size, F.greatest("lo", (F.col("lo") + (F.col("hi").cast("double") - F.col("lo")) * (F.lit(size) / F.col("m"))).cast("long"))).otherwise(F.col("hi"))
+        sized = sizes.select("group", F.ceil(F.col("m") / size).cast("int").alias("parts"), bound.alias("bound"))
+        met = rest.join(sized, "group")
+        head, tail = met.where("line <= bound"), met.where("line > bound")
+        joined = cut(_parsed(head.withColumn("known", F.lit(False)), similar, n))
+        names = head.where("parts > 1").join(joined, "line", "left_anti")
+        copies = names.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("known", F.lit(True))
+        dealt = tail.withColumn("part", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int")).withColumn("known", F.lit(False))
+        both = copies.select("group", "part", "line", "tokens", "known").unionByName(dealt.select("group", "part", "line", "tokens", "known"))
+        caught = cut(_parsed(both.withColumn("group", F.xxhash64("group", "part")), similar, n))
+        found = joined.unionByName(caught) if found is None else found.unionByName(joined).unionByName(caught)
+        rest = stored(tail.join(caught, "line", "left_anti").select("group", "line", "tokens"), "rest")
+
+
 def templates(lines: DataFrame, similar: int, n: int, min_tokens: int, texts: DataFrame) -> DataFrame:
     """``line, template``: lines that joined a template named after another line."""
     leaves = lines.groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("line").alias("x"), F.max("line").alias("y"), F.count("*").alias("n"))
@@ -167,11 +245,20 @@ def templates(lines: DataFrame, similar: int, n: int, min_tokens: int, texts: Da
     for row in maps:
         bits |= np.frombuffer(row["bits"], np.uint8)
     likely = texts.sparkSession.sparkContext.broadcast(bits.tobytes())
-    with_tokens = texts.mapInArrow(_lines(min_tokens, likely), _SQL_LINES).join(open_, "leaf").groupBy("leaf", "line", "n").agg(F.first("tokens").alias("tokens"))
-    deeper = F.when(F.col("n") <= LEAF, LEAD).when(F.col("n") <= LEAF * 50, LEAD + 2).otherwise(LEAD + 7)
-    group = F.xxhash64("leaf", F.substring(F.col("tokens"), F.lit(1), deeper * 8))
-    met = with_tokens.select(group.alias("group"), "line", "tokens").repartition(n, "group").sortWithinPartitions("group", "line")
-    return met.mapInArrow(_template_rows(similar), "line long, template long")
+    with_tokens = texts.mapInArrow(_lines(min_tokens, likely), _SQL_LINES).join(open_.select("leaf"), "leaf").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
+    # different lines are counted only where the rows are many: the size decides how a leaf is parsed, not what comes out
+    many = open_.where(F.col("n") > LEAF).select("leaf")
+    large = None
+    if not many.isEmpty():
+        different = lines.join(many, "leaf").select("leaf", "line").distinct().groupBy("leaf").agg(F.count("*").alias("m"))
+        large = cut(different.where(F.col("m") > LEAF).select("leaf"))
+    if large is None or large.isEmpty():
+        return _parsed(with_tokens.select(F.col("leaf").alias("group"), "line", "tokens", F.lit(False).alias("known")), similar, n)
+    with_tokens = stored(with_tokens, "tokens")
+    small = with_tokens.join(large, "leaf", "left_anti")
+    small = _parsed(small.select(F.col("leaf").alias("group"), "line", "tokens", F.lit(False).alias("known")), similar, n)
+    split = _parsed_large(with_tokens.join(large, "leaf", "left_semi"), similar, n, LEAF)
+    return small if split is None else small.unionByName(split)
 
 
 def recurring(documents: DataFrame, similar: int = SIMILAR, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, key: str = "doc_id", text: str = "text") -> DataFrame:

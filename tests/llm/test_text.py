@@ -127,6 +127,20 @@ def test_leaf_finds_every_similar_template():
         assert (at == n) == (not before)
 
 
+def test_line_dedup_is_the_same_in_large_leaves(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: rng.choice("bcdfg") + rng.choice("aeiou") + rng.choice("klmnp")
+    base = [word() for _ in range(9)]
+    lines = [" ".join(["same", "first", "words", *[word() if rng.random() < 0.12 else w for w in base]]) for _ in range(150)]
+    lines += [" ".join(["same", "first", "words", *[word() for _ in range(9)]]) for _ in range(80)]
+    df = frame(spark, [f"{x}\nown{i} own{i}" for i, x in enumerate(lines)])
+    want = {tuple(r) for r in linededup.recurring(df).collect()}
+    assert len(want) > 40
+    for size in (150, 20):
+        monkeypatch.setattr(linededup, "LEAF", size)
+        assert {tuple(r) for r in linededup.recurring(df).collect()} == want
+
+
 TEXTS = ["Hello world\nfoo ▁bar  baz 日本語 ü🙂 \n\n end ", "", None, "a" * 200, " ", "\n", "▁", "\0 x", "naïve café ﬁ \t tab\r\n", "word " * 5000]
 
 

@@ -2,17 +2,16 @@
 
 Documents with one and the same shingle set are one *class* first; only classes go on.
 Every class has ``TREES`` signature orders of ``DEPTH`` min-hashes each. In the sorted order of a tree,
-the classes that share a prefix are neighbours; a *region* is such a run. Regions start at
-``MIN_DEPTH`` common min-hashes, and a region of more than ``REGION`` classes (or ``WEIGHT``
-shingles) is taken one min-hash deeper, and deeper again, until it is small enough; there ``HEADS``
-of its classes (of each hash slot that with most copies) go into each of its parts, so that a hub keeps its links. A
-region that is still too large at full depth is dealt by a salt, again with its heads in each part.
+the classes that share a prefix are neighbours; a *region* is such a run, of ``MIN_DEPTH``
+common min-hashes. A region of more than ``REGION`` classes (or ``WEIGHT`` shingles) is dealt into
+parts, and each pair of parts meets in a task of its own (a *block*), so all its pairs are compared.
 
-Inside a region, all signatures are compared in blocks, and what agrees well enough joins a
+Inside a block, all signatures are compared, and what agrees well enough joins a
 *cluster* (connected components, computed by Spark). Each cluster then meets once with its
 texts, where every pair that the signatures allow is confirmed on the full shingle sets unless
-both are linked already; clusters beyond the bound are confirmed region by region instead.
-Only spanning links leave a task, so output is linear in the classes, never in pairs.
+both are linked already; clusters beyond the bound are dealt into blocks too, or confirmed in the
+blocks of their regions where those are fewer rows. Only spanning links leave a task. Rows are
+linear in the classes but for crowds, where a class goes into as many blocks as there are parts.
 
 A link is lost only if its classes share no region in any tree ((1 - 0.8**3)**16 = 1e-5 at a
 similarity of 0.8) or if the estimate from 128 min-hashes is over 4 standard deviations low.
@@ -35,7 +34,8 @@ from .common import MIX_A, MIX_B, MIX_C, ascii_words, components, cut, partition
 
 TREES, DEPTH, MIN_DEPTH = 16, 8, 3
 HASHES = TREES * DEPTH
-REGION, WEIGHT, HEADS = 2048, 4_000_000, 16
+REGION, WEIGHT = 2048, 4_000_000
+HEADS = 16  # not read any more; a test sets it
 MARGIN = 0.15  # what an estimate may lie below the threshold: over 4 standard deviations of 128 min-hashes
 _MULTIPLY = ((np.arange(1, HASHES + 1, dtype=np.uint64) * MIX_A) ^ ((np.arange(1, HASHES + 1, dtype=np.uint64) * MIX_B) >> np.uint64(31)) | np.uint64(1)).astype(np.uint32) | np.uint32(1)
 _ADD = (np.arange(1, HASHES + 1, dtype=np.uint64) * MIX_C >> np.uint64(32)).astype(np.uint32)
@@ -76,38 +76,30 @@ def sketch(documents: DataFrame, words: int, key: str = "doc_id", text: str = "t
     return picked.mapInArrow(_sketcher(words), f"doc_id {kind}, n_shingles long, digest binary, sig binary")
 
 
-def _prefix(depth: int):
-    """Region key: hash of the tree and its first ``depth`` min-hashes."""
-    return F.xxhash64("tree", F.substring("branch", 1, 2 * depth))
+def _parts(n: str, weight: str):
+    """Parts that a group of ``n`` classes and ``weight`` shingles is dealt into; 1 within the bounds."""
+    many = F.greatest(F.ceil(F.col(n) / (REGION // 2)), F.ceil(F.col(weight) / (WEIGHT // 2)))
+    return F.when((F.col(n) > REGION) | (F.col(weight) > WEIGHT), F.least(many, F.col(n))).otherwise(1).cast("int")
+
+
+def blocks(rows: DataFrame, key: str) -> DataFrame:
+    """``group, id, side`` of rows (key, id, parts): a group for each pair of parts of a key.
+
+    Side 0 meets all of its group; sides 1 and 2 are two parts, of which only pairs across are due.
+    """
+    own = F.pmod(F.xxhash64(F.lit("part"), F.col("id")), F.col("parts")).cast("int")
+    met = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("_own") == F.col("_other"), 0).when(F.col("_own") < F.col("_other"), 1).otherwise(2)
+    return met.select(F.xxhash64(F.lit(key), key, F.least("_own", "_other"), F.greatest("_own", "_other")).alias("group"), "id", side.alias("side"))
 
 
 def forest(classes: DataFrame) -> DataFrame:
-    """``region, id, weight, copies, sig`` for every region of two classes or more."""
-    trees = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring(F.col("sig"), t * (2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("branch"))))
-    rows = classes.select("id", "weight", "copies", trees.alias("x")).select("id", "weight", "copies", "x.tree", "x.branch").withColumn("region", _prefix(MIN_DEPTH))
-    settled = None
-    for depth in range(MIN_DEPTH, DEPTH + 2):
-        size = rows.groupBy("region").agg(F.count("*").alias("_n"), F.sum("weight").alias("_w")).where("_n > 1")
-        big = (F.col("_n") > REGION) | (F.col("_w") > WEIGHT)
-        met = rows.join(size, "region")
-        done = met.where(~big | F.lit(depth > DEPTH))
-        settled = done.select("region", "id") if settled is None else settled.unionByName(done.select("region", "id"))
-        if depth > DEPTH:
-            break
-        large = size.where(big).withColumn("parts", F.greatest(F.ceil(F.col("_n") / (REGION // 2)), F.ceil(F.col("_w") / (WEIGHT // 2))).cast("int")).select("region", "parts")
-        large = cut(large)
-        if large.isEmpty():
-            break
-        crowd = cut(rows.join(large, "region"))
-        deeper = _prefix(depth + 1) if depth < DEPTH else F.xxhash64("region", F.pmod(F.xxhash64("id"), F.col("parts")))
-        parts = crowd.withColumn("below", deeper)
-        # the heaviest class of each of HEADS hash slots; pre-aggregated per task, so no region meets in one place
-        slot = F.pmod(F.xxhash64("id"), F.lit(HEADS))
-        one = F.max_by(F.struct("id", "weight", "copies", "tree", "branch"), F.struct("copies", -F.col("id"))).alias("h")
-        heads = crowd.groupBy("region", slot.alias("_slot")).agg(one)
-        spread = parts.select("region", "below").distinct().join(heads, "region").select("h.*", F.col("below").alias("region"))
-        rows = parts.select("id", "weight", "copies", "tree", "branch", F.col("below").alias("region")).unionByName(spread).dropDuplicates(["region", "id"])
-    return settled
+    """``region, id, parts`` for every region of two classes or more."""
+    branch = lambda t: F.substring(F.col("sig"), t * (2 * DEPTH) + 1, F.lit(2 * MIN_DEPTH))
+    regions = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, branch(t))))
+    rows = classes.select("id", "weight", regions.alias("region"))
+    size = rows.groupBy("region").agg(F.count("*").alias("_n"), F.sum("weight").alias("_w")).where("_n > 1")
+    return rows.join(size.select("region", _parts("_n", "_w").alias("parts")), "region").select("region", "id", "parts")
 
 
 class _Groups:
@@ -157,19 +149,26 @@ class _Union:
         return True
 
 
-def _likely(sig: np.ndarray, least: float, block: int = 256):
-    """Pairs (i, j, share of equal min-hashes), i < j, at or above ``least``, block by block."""
-    n = len(sig)
-    for a in range(0, n, block):
-        left = sig[a : a + block]
-        for b in range(a, n, block):
-            right = sig[b : b + block]
-            same = np.zeros((len(left), len(right)), np.uint8)
-            for k in range(HASHES):
-                same += left[:, k, None] == right[None, :, k]
-            i, j = np.nonzero(same >= least * HASHES)
-            keep = (i + a) < (j + b)
-            yield i[keep] + a, j[keep] + b, same[i[keep], j[keep]]
+def _likely(sig: np.ndarray, side: np.ndarray, least: float, block: int = 256):
+    """Pairs (i, j, number of equal min-hashes) at or above ``least``, block by block: each pair of side 0 once, and those across sides 1 and 2."""
+    for one, other in ((0, 0), (1, 2)):
+        p, q = np.flatnonzero(side == one), np.flatnonzero(side == other)
+        for a in range(0, len(p), block):
+            left = sig[p[a : a + block]]
+            for b in range(a if one == other else 0, len(q), block):
+                right = sig[q[b : b + block]]
+                same = np.zeros((len(left), len(right)), np.uint8)
+                for k in range(HASHES):
+                    same += left[:, k, None] == right[None, :, k]
+                i, j = np.nonzero(same >= least * HASHES)
+                if one == other:
+                    keep = (i + a) < (j + b)
+                    i, j = i[keep], j[keep]
+                yield p[i + a], q[j + b], same[i, j]
+
+
+def _column(batches, at: int) -> np.ndarray:
+    return np.concatenate([b.column(at).to_numpy() for b in batches])
 
 
 def _signatures(column) -> np.ndarray:
@@ -180,17 +179,17 @@ _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _cluster_region(least: float):
-    """Spanning edges of the classes of a region whose signatures agree."""
+    """Spanning edges of the classes of a block whose signatures agree."""
 
     def work(batches):
-        ids = np.concatenate([b.column(1).to_numpy() for b in batches])
+        ids = _column(batches, 1)
         if len(ids) < 2:
             return []
         sig = np.concatenate([_signatures(b.column(2)) for b in batches])
-        if len(ids) == 2:
+        if len(ids) == 2 and not _column(batches, 3).any():
             return [(int(ids.min()), int(ids.max()))] if (sig[0] == sig[1]).sum() >= least * HASHES and ids[0] != ids[1] else []
         root = np.arange(len(ids))
-        for i, j, _ in _likely(sig, least):
+        for i, j, _ in _likely(sig, _column(batches, 3), least):
             while (apart := root[i] != root[j]).any():
                 i, j = i[apart], j[apart]
                 low = np.minimum(root[i], root[j])
@@ -208,7 +207,7 @@ def _cluster_region(least: float):
 def _confirm(words_per_shingle: int, percent: int, least: float):
     """Spanning links of a group, confirmed on full shingle sets."""
     def work(batches):
-        ids = np.concatenate([b.column(1).to_numpy() for b in batches])
+        ids = _column(batches, 1)
         if len(ids) < 2:
             return []
         sig = np.concatenate([_signatures(b.column(2)) for b in batches])
@@ -233,7 +232,7 @@ def _confirm(words_per_shingle: int, percent: int, least: float):
                 union.join(i, j)
                 out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
 
-        for i, j, same in _likely(sig, least):
+        for i, j, same in _likely(sig, _column(batches, 4), least):
             order = np.argsort(-same.astype(np.int16), kind="stable")  # the surest first: what they link needs no test
             for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
                 test(x, y)
@@ -253,22 +252,26 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, key
     least = max(0.05, percent / 100 - MARGIN)
     all_docs = stored(sketch(documents, words, key, text), "sketch")
     sets = all_docs.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = stored(sets.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("weight"), F.first("sig").alias("sig")), "classes")
+    classes = stored(sets.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("weight"), F.first("sig").alias("sig")), "classes")
     regions = cut(forest(classes))
-    members = regions.join(classes.select("id", "sig"), "id").select("region", "id", "sig").repartition(n, "region").sortWithinPartitions("region", "id")
+    members = blocks(regions, "region").join(classes.select("id", "sig"), "id").select("group", "id", "sig", "side").repartition(n, "group").sortWithinPartitions("group", "id")
     agree = members.mapInArrow(_Groups(_cluster_region(least), _EDGES), "a long, b long").distinct()
     clusters = components(agree).join(classes.select(F.col("id").alias("node"), "weight"), "node")
     clusters = cut(clusters.withColumnRenamed("node", "id"))
     size = clusters.groupBy("root").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
-    large = cut(size.where((F.col("n") > REGION) | (F.col("w") > WEIGHT)).select("root"))
+    sized = cut(size.select("root", "n", _parts("n", "w").alias("parts")).where("parts > 1"))
     few = clusters.select("id", "root")
-    groups = few.join(large, "root", "left_anti").select("id", F.col("root").alias("group"))
-    if not large.isEmpty():
-        wide = few.join(large, "root", "left_semi")
-        groups = groups.unionByName(regions.join(wide.select("id"), "id").select("id", F.xxhash64(F.lit("region"), "region").alias("group")))
+    groups = few.join(sized.select("root"), "root", "left_anti").select(F.col("root").alias("group"), "id", F.lit(0).alias("side"))
+    if not sized.isEmpty():
+        wide = few.join(sized, "root").select("root", "id", "parts")
+        # pairs to confirm share a region too; what takes fewer rows is done
+        rows = regions.join(wide.select("id", "root"), "id").groupBy("root").agg(F.sum("parts").alias("rows"))
+        dearer = cut(sized.join(rows, "root").where(F.col("rows") < F.col("n") * F.col("parts")).select("root"))
+        groups = groups.unionByName(blocks(wide.join(dearer, "root", "left_anti"), "root"))
+        groups = groups.unionByName(blocks(regions.join(wide.join(dearer, "root", "left_semi").select("id"), "id"), "region"))
     texts = documents.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     with_sig = groups.join(classes.select("id", "sig"), "id")
-    met = texts.join(with_sig, "id").select("group", "id", "sig", "text").repartition(n, "group").sortWithinPartitions("group", "id")
+    met = texts.join(with_sig, "id").select("group", "id", "sig", "text", "side").repartition(n, "group").sortWithinPartitions("group", "id")
     links = met.mapInArrow(_Groups(_confirm(words, percent, least), _EDGES), "a long, b long").distinct()
     roots = components(links)
     home = classes.select("digest", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("root", "id").alias("_root"))

@@ -75,6 +75,26 @@ def test_near_duplicates_dense_regions(spark):
     assert agree > 0.98
 
 
+def test_near_duplicates_hub_of_a_crowd(spark, monkeypatch):
+    """Near copies that are linked only through one text, which is neither the smallest id nor the most copied."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(240)]
+    texts = []
+    for i in range(220):
+        words = list(base)
+        for k, at in enumerate(rng.sample(range(0, 236, 4), 6)):
+            words[at + 3] = f"v{i}x{k}"
+        texts.append(" ".join(words))
+    texts.insert(150, " ".join(base))
+    want = brute_components(texts, 4)
+    assert len(set(want)) == 1 and len(set(brute_components(texts[:150] + texts[151:], 4))) > 200
+    for size, weight in ((24, neardup.WEIGHT), (neardup.REGION, 6000)):
+        monkeypatch.setattr(neardup, "REGION", size)
+        monkeypatch.setattr(neardup, "WEIGHT", weight)
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, texts), 4).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_near_duplicates_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, None), (3, "a b c d e")], "doc_id long, text string")
     got = sorted((tuple(r) for r in neardup.near_duplicates(df, 4).collect()), key=str)

@@ -131,9 +131,45 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     return found.where(verbatim | enough("best")).select("doc_id", "item_id", F.when(verbatim, F.col("literal")).otherwise(F.col("best")).cast("long").alias("matched"), F.col("total").cast("long").alias("total"), F.when(verbatim, F.lit("verbatim")).otherwise(F.lit("template")).alias("kind"))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """``documents`` without those that hold a benchmark item."""
-    bad = contaminated(documents, benchmark, key=key, **options).select(F.col("doc_id").alias(key)).distinct()
+def _literal_windows(df: DataFrame, name: str, text: str, n: int) -> DataFrame:
+    """``name, size, at, h``: hashes of all windows of ``n`` lower-case words."""
+    words = df.select(name, F.array_remove(F.split(F.lower(F.col(text).cast("string")), r"[^\p{L}\p{N}]+"), "").alias("w"))
+    hashes = words.select(name, F.transform("w", lambda x: F.xxhash64(x)).alias("t"))
+    places = F.expr(f"posexplode(CASE WHEN size(t) >= {n} THEN transform(sequence(0, size(t) - {n}), i -> {_combined('t', n, 'i')}) END)")
+    return hashes.select(name, F.size("t").alias("size"), places).withColumnsRenamed({"pos": "at", "col": "h"})
+
+
+def copied(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = PERCENT, run: int = RUN, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``doc_id, item_id, matched, total`` of documents that hold an item's words, whatever their capitals and what stands before them.
+
+    The rule is that of ``verbatim``, over all windows of lower-case words; an item of fewer words than
+    a window has one window of all of them. Windows are compared by 64-bit hashes.
+    """
+    own = benchmark.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("text")).where("item_id IS NOT NULL").dropDuplicates(["item_id"])
+    known = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    met = None
+    for n in range(1, window + 1):
+        items = _literal_windows(own, "item_id", "text", n)
+        items = cut((items.where(F.col("size") == n) if n < window else items).select("item_id", (F.col("size") - n + 1).alias("total"), F.col("at").alias("i_at"), "h"))
+        many = items.count()
+        if not many:
+            continue
+        docs = _literal_windows(known, "doc_id", "text", n).select("doc_id", "at", "h")
+        hit = docs.join(F.broadcast(items) if many <= MOST_BROADCAST else items, "h").select("doc_id", "item_id", "total", "i_at", (F.col("at") - F.col("i_at")).alias("shift"))
+        met = hit if met is None else met.unionByName(hit)
+    if met is None:
+        return known.select("doc_id", F.lit(None).cast(benchmark.schema[item_key].dataType).alias("item_id"), F.lit(0).alias("matched"), F.lit(0).alias("total")).where(F.lit(False))
+    per_shift = met.groupBy("doc_id", "item_id", "total", "shift").agg(F.collect_set("i_at").alias("own"))
+    found = per_shift.groupBy("doc_id", "item_id", "total").agg(F.max(F.size("own")).alias("best"), F.size(F.array_distinct(F.flatten(F.collect_list("own")))).alias("matched"))
+    return found.where((F.col("matched") * 100 >= F.col("total") * percent) | (F.col("best") >= run)).select("doc_id", "item_id", "matched", "total")
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", copies: bool = False, **options) -> DataFrame:
+    """``documents`` without those that hold a benchmark item; with ``copies`` also without those of ``copied``."""
+    bad = contaminated(documents, benchmark, key=key, **options).select(F.col("doc_id").alias(key))
+    if copies:
+        bad = bad.unionByName(copied(documents, benchmark, key=key, **options).select(F.col("doc_id").alias(key)))
+    bad = bad.distinct()
     return documents.join(bad, key, "left_anti").select(documents.columns)
 
 

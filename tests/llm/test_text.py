@@ -232,6 +232,16 @@ def test_decontamination(spark):
     assert decontam.contaminated(df, bench.where("false")).count() == 0 and decontam.contaminated(df.where("false"), bench).count() == 0
 
 
+def test_pipeline_drops_copies_in_other_capitals(spark, tmp_path):
+    import corpus_pipeline
+
+    short = "What is the capital of France today"
+    spark.createDataFrame([(1, ITEM), (2, short), (3, "Blue Moon")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = [f"(a) {short}", f"Title\n{short}", ITEM.upper(), ITEM.title(), ITEM.lower(), short.lower(), "a blue\nmoon rose", "What is the capital of Spain", "blue and moon", None, ""]
+    kept = corpus_pipeline.decontamination(spark, frame(spark, texts), str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {7, 8, 9, 10}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -60,19 +60,15 @@ def test_near_duplicates(spark, near_texts, monkeypatch):
     assert kept.columns == df.columns and kept.count() == len(set(brute_components(near_texts, 5)))
 
 
-def test_near_duplicates_dense_regions(spark):
+def test_near_duplicates_dense_regions(spark, monkeypatch):
     rng = random.Random(9)
     base = [f"w{i}" for i in range(120)]
     texts = [" ".join(base)] + [noisy(rng, base, 0.012) for _ in range(160)] + [noisy(rng, base, 0.8) for _ in range(10)]
     want = brute_components(texts, 4)
-    saved = neardup.REGION, neardup.HEADS
-    try:
-        neardup.REGION, neardup.HEADS = 24, 6
-        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, texts), 4).collect()}
-    finally:
-        neardup.REGION, neardup.HEADS = saved
-    agree = np.mean([got[i] == w for i, w in enumerate(want)])
-    assert agree > 0.98
+    monkeypatch.setattr(neardup, "REGION", 24)
+    monkeypatch.setattr(neardup, "CLUSTER", 40)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, texts), 4).collect()}
+    assert [got[i] for i in range(len(texts))] == want
 
 
 def test_near_duplicates_hub_of_a_crowd(spark, monkeypatch):
@@ -90,6 +86,7 @@ def test_near_duplicates_hub_of_a_crowd(spark, monkeypatch):
     assert len(set(want)) == 1 and len(set(brute_components(texts[:150] + texts[151:], 4))) > 200
     for size, weight in ((24, neardup.WEIGHT), (neardup.REGION, 6000)):
         monkeypatch.setattr(neardup, "REGION", size)
+        monkeypatch.setattr(neardup, "CLUSTER", size)
         monkeypatch.setattr(neardup, "WEIGHT", weight)
         got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, texts), 4).collect()}
         assert [got[i] for i in range(len(texts))] == want
@@ -98,7 +95,7 @@ def test_near_duplicates_hub_of_a_crowd(spark, monkeypatch):
 def test_near_duplicates_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, None), (3, "a b c d e")], "doc_id long, text string")
     got = sorted((tuple(r) for r in neardup.near_duplicates(df, 4).collect()), key=str)
-    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, True), (2, 0, 2, True), (3, 2, 1, False)], key=str) or [g[:3] for g in got if g[0]] == [(1, 2, 1), (1, 2, 1), (2, 0, 2), (3, 2, 1)]
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, None, True), (2, 0, 2, True), (3, 2, 1, False)], key=str)
     assert neardup.near_duplicates(df.where("false"), 4).count() == 0
 
 
@@ -112,6 +109,10 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got.get(n, n) == r for n, r in root.items())
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    star = spark.range(1, 500).selectExpr("1000 AS a", "id AS b").unionAll(spark.range(0, 400).selectExpr("2000 AS a", "3000 + id AS b"))
+    assert {(r.node < 2000, r.root) for r in components(star).collect()} == {(True, 1), (False, 2000)}
+    with pytest.raises(RuntimeError, match="settle"):
+        components(spark.range(40).selectExpr("id AS a", "id + 1 AS b"), max_rounds=1)
 
 
 LONG = " ".join(f"passage{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
@@ -136,29 +137,48 @@ def test_line_dedup(spark):
     assert linededup.line_dedup(df.where("false")).count() == 0
 
 
-def test_leaf_finds_every_similar_template():
-    rng = random.Random(2)
-    lines = [np.array([rng.randrange(3) + 10 * i for i in range(10)], np.uint64) for _ in range(200)]
-    leaf = linededup.Leaf(10, 80)
-    for tokens in lines:
-        before = [t for t in leaf.templates if (t == tokens).sum() >= 8]
-        n = len(leaf.templates)
-        at = leaf.put(tokens)
-        assert (at == n) == (not before)
+def brute_recurring(texts, similar=80, least=5):
+    """Lines to drop: links within a leaf, followed to the end, a template at a time."""
+    rows = []
+    for doc, text in enumerate(texts):
+        for no, line in enumerate((text or "").lower().split("\n")):
+            w = ["<*>" if any(c in "0123456789" for c in t) else t for t in line.split()]
+            if len(w) >= least:
+                rows.append((doc, no, w))
+    root = list(range(len(rows)))
+    for i, (_, _, x) in enumerate(rows):
+        for j, (_, _, y) in enumerate(rows[:i]):
+            if len(x) == len(y) and x[:3] == y[:3] and 100 * sum(a == b for a, b in zip(x, y, strict=True)) >= similar * len(x):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    first = {}
+    for r, (doc, _, _) in zip(root, rows, strict=True):
+        first[r] = min(first.get(r, doc), doc)
+    return {(doc, no) for r, (doc, no, _) in zip(root, rows, strict=True) if doc != first[r]}
 
 
-def test_line_dedup_is_the_same_in_large_leaves(spark, monkeypatch):
+def test_line_dedup_matches_brute_force(spark, monkeypatch):
     rng = random.Random(6)
-    word = lambda: rng.choice("bcdfg") + rng.choice("aeiou") + rng.choice("klmnp")
+    word = lambda: rng.choice("bcdfg") + rng.choice("aeiou") + rng.choice(["k", "l", "m", "4"])
     base = [word() for _ in range(9)]
-    lines = [" ".join(["same", "first", "words", *[word() if rng.random() < 0.12 else w for w in base]]) for _ in range(150)]
-    lines += [" ".join(["same", "first", "words", *[word() for _ in range(9)]]) for _ in range(80)]
-    df = frame(spark, [f"{x}\nown{i} own{i}" for i, x in enumerate(lines)])
-    want = {tuple(r) for r in linededup.recurring(df).collect()}
-    assert len(want) > 40
-    for size in (150, 20):
+    lines = [" ".join(["same", "first", "words", *[word() if rng.random() < 0.2 else w for w in base]]) for _ in range(120)]
+    lines += [" ".join(["same", "first", "words", *[word() for _ in range(rng.choice([2, 9]))]]) for _ in range(80)]
+    lines += [" ".join(["Same", "first", rng.choice(["w", "W", "v"]), rng.choice("ab"), rng.choice("ab")]) for _ in range(12)]
+    texts = [f"{x}\nown{i} own{i}\n{rng.choice(lines)}" for i, x in enumerate(lines)]
+    want = brute_recurring(texts)
+    assert 100 < len(want) < 400
+    df = frame(spark, texts)
+    for size, weight in ((linededup.LEAF, linededup.WEIGHT), (30, linededup.WEIGHT), (6, linededup.WEIGHT), (linededup.LEAF, 300)):
         monkeypatch.setattr(linededup, "LEAF", size)
-        assert {tuple(r) for r in linededup.recurring(df).collect()} == want
+        monkeypatch.setattr(linededup, "WEIGHT", weight)
+        assert {(r.doc_id, r.line_no) for r in linededup.recurring(df).collect()} == want
+
+
+def test_line_templates_have_variable_places(spark):
+    users, hosts = ["ann", "bob", "eve", "joe"], ["oak", "elm", "fir"]
+    texts = [f"login page shows user {u} on host {h} at port {22 + i} today" for i, (u, h) in enumerate((u, h) for u in users for h in hosts)]
+    (row,) = linededup.template_texts(frame(spark, texts)).collect()
+    assert row.tokens == "login page shows user <*> on host <*> at port <*> today".split() and row.n_lines == 11
 
 
 TEXTS = ["Hello world\nfoo ▁bar  baz 日本語 ü🙂 \n\n end ", "", None, "a" * 200, " ", "\n", "▁", "\0 x", "naïve café ﬁ \t tab\r\n", "word " * 5000]
@@ -226,12 +246,23 @@ def test_decontamination(spark):
     df = frame(spark, texts).withColumn("h", F.lit(1)).withColumn("slots", F.lit("x"))
     got = {(r.doc_id, r.item_id): r.kind for r in decontam.contaminated(df, bench).collect()}
     assert got[0, 1] == "verbatim" and got[1, 1] == "template" and (2, 1) not in got and got[9, 1] == "verbatim"
-    assert got[7, 2] == "verbatim" and not {4, 5, 6, 8} & {d for d, _ in got}
+    assert got[7, 2] == "verbatim" and got[3, 1] == "verbatim" and not {4, 5, 6, 8} & {d for d, _ in got}
     kept = decontam.decontaminate(df, bench)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(range(10)) - {d for d, _ in got}
     assert decontam.contaminated(df, bench.where("false")).count() == 0 and decontam.contaminated(df.where("false"), bench).count() == 0
 
 
+def test_decontamination_slots_of_other_lengths(spark):
+    question = "So if Tom pays 900 dollars for lunch in Paris and then 30 dollars for a taxi, how much does Tom have left of 2000 dollars"
+    bench = spark.createDataFrame([(1, question), (1, "An entirely different question with the same id")], "item_id long, text string")
+    texts = [
+        question.replace("900", "1,250.50").replace("Paris", "New York City").replace("Tom", "Ann Lee").replace("30", "two million").replace("2000", "one"), "so an entirely different question with the same id",
+        question.replace("900", "7").replace("Tom", "Ann", 1).replace("Paris", "Rome").replace("30 ", "4 ").replace("2000", "55"), "So if nobody pays for lunch, how much is left",
+    ]
+    got = {(r.doc_id, r.item_id): r.kind for r in decontam.contaminated(frame(spark, texts), bench).collect()}
+    assert got == {(0, 1): "template", (1, 1): "verbatim"}
+
+
 def test_pipeline_drops_copies_in_other_capitals(spark, tmp_path):
     import corpus_pipeline
 

@@ -7,8 +7,8 @@ log(size + 2)`` for each byte. Forward filtering sums the weights of all paths t
 each place of a word, once for each distinct word of a batch; backward sampling then draws
 arcs from the end of each occurrence, for all words of a batch of texts at once. The draws are
 hashes of the row key, the word's place and the step, so a row's segmentation depends
-on nothing but its key, its text, ``alpha`` and ``seed``. Pieces never span words, newlines
-stand alone, and a word of more than ``LONGEST_WORD`` characters is cut into such lengths.
+on nothing but its key, its text, ``alpha`` and ``seed``. Pieces never span words, and newlines
+stand alone. A word may be of any length (a text without spaces is one); its lattice takes about 100 bytes a character.
 
 Decoding joins the pieces; since a literal U+2581 is always spelled in bytes, it gives back every text.
 Defined cases: a null text has null pieces and decodes to null; an empty text has no pieces;
@@ -26,13 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import MIX_A, MIX_C, mixed
+from .common import MIX_A, MIX_C, map_arrow, mixed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 2.0, 17
 SPACE = "▁"
-LONGEST_WORD = 48
-CHUNK = re.compile(r"\n| ?[^ \n]{1,%d}| " % LONGEST_WORD)
+SHORT_WORD = 64
+CHUNK = re.compile(r"\n| ?[^ \n]+| ")
 WORDS_AT_ONCE = 200_000
 TOP = np.uint32(0xFFFFFFFF)
 
@@ -71,7 +71,7 @@ class Lattices:
     from, -1: the start) and ``code`` (piece, or size + n for the n-th character spelled in several bytes).
     """
 
-    def __init__(self, vocabulary: Vocabulary, alpha: float = ALPHA, limit: int = 2_000_000):
+    def __init__(self, vocabulary: Vocabulary, alpha: float = ALPHA, limit: int = 1_000_000):
         self.v, self.limit = vocabulary, limit
         ids = np.array(list(vocabulary.ids.values()), np.int64)
         keys = np.zeros(len(ids), np.uint64)
@@ -138,7 +138,7 @@ class Lattices:
         node, span, weight, code = (np.concatenate(x) for x in zip(*arcs, strict=True))
         order = np.argsort(node, kind="stable")
         node, span, weight, code = node[order], span[order], weight[order], code[order]
-        at_place = place[node].astype(np.uint8)
+        at_place = place[node].astype(np.uint8 if int(lengths.max()) < 256 else np.int32)
         came = np.where(span > at_place, -1, node - span)
         total = np.zeros(len(codes) + 1)  # the last stands for the start
         by_place = np.argsort(at_place, kind="stable")
@@ -167,8 +167,11 @@ class Lattices:
         if self.nodes > self.limit:
             self.reset()
         new = list({w: None for w in words if w not in self.end})
-        for at in range(0, len(new), 20_000):
-            self._add(new[at : at + 20_000])
+        short = [w for w in new if len(w) <= SHORT_WORD]
+        for at in range(0, len(short), 20_000):
+            self._add(short[at : at + 20_000])
+        if len(short) < len(new):  # filtered by themselves, since filtering goes place by place
+            self._add([w for w in new if len(w) > SHORT_WORD])
         if self.new:
             have = self.cdf, self.before, self.code, self.start
             self.cdf, self.before, self.code, self.start = (np.concatenate([a, *b]) for a, b in zip(have, zip(*self.new, strict=True), strict=True))
@@ -230,13 +233,7 @@ def _model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def encode(df: DataFrame, key: str = "doc_id", text: str = "text", to: str = "pieces", model: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """``df`` with the sampled pieces of ``text`` in column ``to`` (one of that name is replaced)."""
-    df = df.drop(to)
-    packed = df.sparkSession.sparkContext.broadcast(_model_bytes(model))  # half a MB
-    at_text, at_key = df.columns.index(text), df.columns.index(key)
-    schema = T.StructType([*df.schema.fields, T.StructField(to, T.ArrayType(T.IntegerType(), False))])
-
+def _encoder(packed, at_text: int, at_key: int, names: list[str], alpha: float, seed: int):
     def run(batches):
         lattices = Lattices(Vocabulary(packed.value), alpha)
         for batch in batches:
@@ -249,19 +246,13 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", to: str = "pi
                 size += len(t or "")
                 if size >= 6 * WORDS_AT_ONCE or i == len(texts) - 1:
                     rows = batch.slice(i + 1 - len(held), len(held))
-                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lattices.segment(held, seeds), pa.list_(pa.int32()))], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lattices.segment(held, seeds), pa.list_(pa.int32()))], names=names)
                     held, seeds, size = [], [], 0
 
-    return df.mapInArrow(run, schema)
+    return run
 
 
-def decode(df: DataFrame, pieces: str = "pieces", to: str = "decoded", model: str = MODEL) -> DataFrame:
-    """``df`` with the text of ``pieces`` in column ``to`` (one of that name is replaced)."""
-    df = df.drop(to)
-    packed = df.sparkSession.sparkContext.broadcast(_model_bytes(model))
-    at = df.columns.index(pieces)
-    schema = T.StructType([*df.schema.fields, T.StructField(to, T.StringType())])
-
+def _decoder(packed, at: int, names: list[str]):
     def run(batches):
         table = Vocabulary(packed.value).bytes
         for batch in batches:
@@ -273,11 +264,37 @@ def decode(df: DataFrame, pieces: str = "pieces", to: str = "decoded", model: st
                     continue
                 text = b"".join(map(table.__getitem__, value.to_numpy(zero_copy_only=False).tolist())).decode()
                 out.append(text[1:])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=names)
 
-    return df.mapInArrow(run, schema)
+    return run
+
+
+def _with(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(name, kind)])
+
+
+def encode(df: DataFrame, key: str = "doc_id", text: str = "text", to: str = "pieces", model: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    """``df`` with the sampled pieces of ``text`` in column ``to`` (one of that name is replaced)."""
+    df = df.drop(to)
+    packed = df.sparkSession.sparkContext.broadcast(_model_bytes(model))  # half a MB
+    schema = _with(df.schema, to, T.ArrayType(T.IntegerType(), False))
+    return map_arrow(df, _encoder(packed, df.columns.index(text), df.columns.index(key), schema.names, alpha, seed), schema)
+
+
+def decode(df: DataFrame, pieces: str = "pieces", to: str = "decoded", model: str = MODEL) -> DataFrame:
+    """``df`` with the text of ``pieces`` in column ``to`` (one of that name is replaced)."""
+    df = df.drop(to)
+    packed = df.sparkSession.sparkContext.broadcast(_model_bytes(model))
+    schema = _with(df.schema, to, T.StringType())
+    return map_arrow(df, _decoder(packed, df.columns.index(pieces), schema.names), schema)
 
 
 def sentencepiece(df: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """``df`` with ``pieces`` and ``decoded``."""
-    return decode(encode(df, key, text, model=model, alpha=alpha, seed=seed), model=model)
+    """``df`` with ``pieces`` and ``decoded``, by one worker a task."""
+    df = df.drop("pieces", "decoded")
+    packed = df.sparkSession.sparkContext.broadcast(_model_bytes(model))
+    middle = _with(df.schema, "pieces", T.ArrayType(T.IntegerType(), False))
+    schema = _with(middle, "decoded", T.StringType())
+    encoded = _encoder(packed, df.columns.index(text), df.columns.index(key), middle.names, alpha, seed)
+    decoded = _decoder(packed, len(middle) - 1, schema.names)
+    return map_arrow(df, lambda batches: decoded(encoded(batches)), schema)

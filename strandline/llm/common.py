@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +36,16 @@ def sample_fraction(key: str, fraction: float) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the setting is absent."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where the setting is absent and all tasks run in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = set_dir.get() if set_dir.isDefined() else "file://" + tempfile.mkdtemp(prefix="strandline-")
+        if set_dir.isDefined():
+            found = set_dir.get()
+        elif spark.sparkContext._jsc.sc().isLocal():
+            found = "file://" + tempfile.mkdtemp(prefix="strandline-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
@@ -49,55 +56,153 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with an eager, reliable checkpoint in the shared folder."""
+FILE_BYTES = 16 << 20
+
+
+def files_for(df: DataFrame) -> int:
+    """How many files what comes of ``df`` may be written to: one for each ``FILE_BYTES`` of Catalyst's estimate of it and one for each core.
+
+    Shuffles may have many more partitions than a small table needs files; at the size of a cluster it is the other way round.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(size // FILE_BYTES, 1 << 30) + df.sparkSession.sparkContext.defaultParallelism
+
+
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Cuts lineage with an eager, reliable checkpoint in the shared folder, of ``files`` files at most."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(files) if files else df).checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it again (columnar, prunable)."""
+def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder, as ``files`` files at most, and reads it again (columnar, prunable)."""
     spark, path = df.sparkSession, fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def _give_back() -> None:
+    """Returns freed memory to the system, which idle workers would else hold until they are used again."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` by workers that keep no freed memory after a task."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def partitions_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+HOT_KEYS, LEAST_HOT = 10_000, 256
+
+
+def components(edges: DataFrame, max_rounds: int = 60, files: int | None = None) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``(node, root)`` per node, root the smallest node.
 
-    Alternating large-star and small-star rounds; each round is an aggregation and a
-    join on a node, so no component meets in one task. Each round is checkpointed.
-    An empty input gives an empty result.
+    Alternating large-star and small-star rounds, each an aggregation and a join on a node. The hubs of
+    stars, which are ``HOT_KEYS`` nodes at most by their degree, are joined by a broadcast of their rows, so
+    neither a component nor a hub meets in one task. Each round is checkpointed.
+    An empty input gives an empty result; RuntimeError if ``max_rounds`` rounds do not settle it.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e = cut(e)
-    last = None
-    for _ in range(max_rounds):
+
+    def with_least(rows: DataFrame, low: DataFrame, key: str, hot: int) -> DataFrame:
+        """``rows`` with ``m`` of their ``key`` in ``low(u, m, d)``; a key of ``hot`` rows or more is not shuffled."""
+        hubs = rows.join(F.broadcast(low.where(F.col("d") >= hot).select(F.col("u").alias("h"), F.col("m").alias("hm"))), F.col(key) == F.col("h"), "left")
+        cold = hubs.where("h IS NULL").select("u", "v").join(low.where(F.col("d") < hot).select(F.col("u").alias(key), "m"), key)
+        return hubs.where("h IS NOT NULL").select("u", "v", F.col("hm").alias("m")).unionByName(cold.select("u", "v", "m"))
+
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), files)
+    check = lambda rows: rows.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    last = check(e)
+    for _ in range(max_rounds if last[0] else 0):
+        hot = max(LEAST_HOT, -(-4 * last[0] // HOT_KEYS))
+        # large star: each node's larger neighbours go to its least one (u > v in every row)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_min = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small_min, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(joined.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("d"))
+        large = with_least(e, low, "v", hot).select("u", F.col("m").alias("v")).distinct()
+        # small star: each node and its smaller neighbours go to the least of them
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
+        small = with_least(large, low, "u", hot).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
+        e = cut(small.where("u <> v").distinct(), files)
+        now = check(e)
         if now == last:
             break
         last = now
+    else:
+        if last[0]:
+            raise RuntimeError(f"the components did not settle in {max_rounds} rounds")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def pair_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """``group, id, side`` of rows (key, id, parts): a group for each pair of parts of a key.
+
+    Side 0 meets all of its group; sides 1 and 2 are two parts, of which only pairs across are due.
+    """
+    own = F.pmod(F.xxhash64(F.lit("part"), F.col("id")), F.col("parts")).cast("int")
+    met = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("_own") == F.col("_other"), 0).when(F.col("_own") < F.col("_other"), 1).otherwise(2)
+    return met.select(F.xxhash64(F.lit(key), key, F.least("_own", "_other"), F.greatest("_own", "_other")).alias("group"), "id", side.alias("side"))
+
+
+class groups_of:
+    """Runs ``work(rows)`` on each group of consecutive rows with one value in column 0."""
+
+    def __init__(self, work, schema: pa.Schema):
+        self.work, self.schema = work, schema
+
+    def __call__(self, batches):
+        held, key, out = [], None, []
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            if not len(keys):
+                continue
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]]), strict=True):
+                if keys[lo] != key:
+                    if held:
+                        out += self.work(held)
+                    held, key = [], keys[lo]
+                held.append(batch.slice(int(lo), int(hi - lo)))
+            if len(out) > 10_000:
+                yield self._batch(out)
+                out = []
+        if held:
+            out += self.work(held)
+        yield self._batch(out)
+
+    def _batch(self, rows):
+        return pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(self.schema)], schema=self.schema)
+
+
+def spanning(n: int, pairs) -> np.ndarray:
+    """The smallest place that each of ``n`` places reaches over ``pairs``."""
+    root = np.arange(n)
+    for i, j in pairs:
+        while (apart := root[i] != root[j]).any():
+            i, j = i[apart], j[apart]
+            low = np.minimum(root[i], root[j])
+            np.minimum.at(root, root[i], low)
+            np.minimum.at(root, root[j], low)
+            while (root != root[root]).any():
+                root = root[root]
+    return root
+
+
 class Words:
     """Ids of byte words, with one row of derived 64-bit numbers for each id.
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, remainder, sample_fraction
+from .common import MIX_A, map_arrow, remainder, sample_fraction
 
 BITS, MAX_N = 16, 4
 MAX_ROWS, LANDMARKS, RIDGE = 4000, 240, 1e-2
@@ -98,7 +98,7 @@ def fit(documents: DataFrame, train: Column | None = None, max_rows: int = MAX_R
     if not n:
         return [], np.zeros(0), np.zeros((1 << BITS, 0), np.float32)
     sample = known.where(sample_fraction("doc_id", max_rows / n)).select(F.col("doc_id").cast("string"), "text", "lang").repartition(1)
-    rows = sorted(sample.mapInArrow(_solver(landmarks), "lang string, bias double, column binary").collect(), key=lambda r: r["lang"])  # a row for each language
+    rows = sorted(map_arrow(sample, _solver(landmarks), "lang string, bias double, column binary").collect(), key=lambda r: r["lang"])  # a row for each language
     if not rows:
         return [], np.zeros(0), np.zeros((1 << BITS, 0), np.float32)
     return [r["lang"] for r in rows], np.array([r["bias"] for r in rows]), np.stack([np.frombuffer(r["column"], np.float32) for r in rows], 1)
@@ -131,7 +131,7 @@ def predict(documents: DataFrame, model, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(scores, pa.float64())], names=["k", "lang_pred", "score"])
 
     picked = documents.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    return picked.mapInArrow(run, f"k {kind}, lang_pred string, score double").withColumnRenamed("k", key)
+    return map_arrow(picked, run, f"k {kind}, lang_pred string, score double").withColumnRenamed("k", key)
 
 
 def language(documents: DataFrame) -> DataFrame:

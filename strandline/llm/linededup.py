@@ -1,20 +1,21 @@
 """Line dedup with a log-template tree.
 
 A line is parsed at a fixed depth: its token count and its first ``LEAD`` tokens, with tokens that
-hold a digit generalised, name a leaf. In a leaf, a line joins the first template of which at
-least ``SIMILAR`` percent of the tokens agree place by place (places that differ become
-variable); the pigeonhole segments of a template are looked up, so a leaf is not compared
-pair by pair. A template that recurs in ``min_docs`` documents or more is dropped from all but
+hold a digit generalised, name a leaf. In a leaf, lines that agree place by place in at least
+``SIMILAR`` percent of their tokens belong to one template, and so does whatever is reached over
+such lines; the places in which the lines of a template differ are its variable fields
+(``template_texts`` shows them), so a template may vary in more fields than any two of its lines do.
+A template that recurs in ``min_docs`` documents or more is dropped from all but
 the first of them (smallest doc_id). A line recurs only as far as it says something: it
 needs ``min_tokens`` tokens.
 
 Counting goes in two steps. Lines are first counted as hashes (leaf, line), pre-aggregated
 per task, which also tells the leaves that no second document has; only lines of leaves with several
-different lines and documents go on to template parsing. The depth is one at every size. A leaf of more
-than ``LEAF`` different lines is split into the components of lines that share a segment key, which loses
-nothing, and a component that is still larger is parsed in rounds: its first lines
-(by hash) in one task, then the rest against their templates in parts, so no task gets an
-unbounded leaf and every line joins the template that it would join in one task.
+different lines and documents go on to template parsing. What a template is does not depend on counts
+or order. A leaf of more than ``LEAF`` different lines (or ``WEIGHT`` tokens) is dealt into parts, and each pair of parts
+is compared in a block of its own, or the lines that share a pigeonhole segment (two similar lines agree in
+one whole segment at least) are, whichever is fewer rows; the links then meet in Spark. So no task gets an unbounded
+leaf, and every pair of similar lines is found.
 
 Defined cases: a null text stays null and an empty one empty; blank lines are never dropped
 themselves; repeated rows of one doc_id are one document; ties go to the smaller doc_id, and
@@ -33,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, cut, partitions_for, stored
+from .common import components, cut, files_for, groups_of, map_arrow, pair_blocks, partitions_for, spanning, stored
 
-LEAD, SIMILAR, MIN_TOKENS, MIN_DOCS, LEAF = 3, 80, 5, 2, 20_000
-BLOOM_SHIFT = 39
+LEAD, SIMILAR, MIN_TOKENS, MIN_DOCS = 3, 80, 5, 2
+LEAF, WEIGHT = 384, 2_000_000
+BLOOM_SHIFT = 41
 BLOOM = 1 << (64 - BLOOM_SHIFT)  # bits; it only saves work, whatever is in it
 ANY = b"<*>"
 
@@ -76,6 +78,15 @@ def _bitmap(batches):
     yield pa.record_batch({"bits": pa.array([np.packbits(seen, bitorder="little").tobytes()], pa.binary())})
 
 
+def _either(batches):
+    """The bit maps of all tasks in one."""
+    bits = np.zeros(BLOOM // 8, np.uint8)
+    for batch in batches:
+        for row in batch.column(0):
+            bits |= np.frombuffer(row.as_py(), np.uint8)
+    yield pa.record_batch({"bits": pa.array([bits.tobytes()], pa.binary())})
+
+
 def _lines(min_tokens: int, likely=None):
     """Rows of the worded lines; with ``likely`` (a broadcast bit map) only of leaves that may be in it, with their tokens."""
 
@@ -118,155 +129,116 @@ def _least(n: int, similar: int) -> int:
     return -(-similar * n // 100)
 
 
-class Leaf:
-    """Templates of one leaf, all of whose lines agree in their first ``lead`` tokens. Tokens are hashes."""
-
-    def __init__(self, n: int, similar: int, lead: int = 0):
-        self.n, self.least = n, _least(n, similar)
-        self.cuts = _segments(n, self.least, min(lead, n))
-        self.templates: list[np.ndarray] = []
-        self.index: dict[tuple[int, bytes], list[int]] = {}
-
-    def _keys(self, tokens):
-        return [(p, tokens[a:b].tobytes()) for p, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True))]
-
-    def find(self, tokens: np.ndarray) -> int:
-        """The first template that is similar enough, or -1."""
-        met = set()
-        for key in self._keys(tokens):
-            met.update(self.index.get(key, ()))
-        order = sorted(met)
-        for lo in range(0, len(order), 1024):
-            part = order[lo : lo + 1024]
-            fits = (np.stack([self.templates[t] for t in part]) == tokens).sum(1) >= self.least
-            if fits.any():
-                return part[int(fits.argmax())]
-        return -1
-
-    def add(self, tokens: np.ndarray) -> int:
-        self.templates.append(tokens)
-        for key in self._keys(tokens):
-            self.index.setdefault(key, []).append(len(self.templates) - 1)
-        return len(self.templates) - 1
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def put(self, tokens: np.ndarray) -> int:
-        t = self.find(tokens)
-        return self.add(tokens) if t < 0 else t
 
+def links(tokens: np.ndarray, side: np.ndarray, least: int, block: int = 256):
+    """Places (i, j) of the rows of ``tokens`` that agree in ``least`` places, block by block: each pair of side 0, and those across sides 1 and 2."""
+    for one, other in ((0, 0), (1, 2)):
+        p, q = np.flatnonzero(side == one), np.flatnonzero(side == other)
+        for a in range(0, len(p), block):
+            left = tokens[p[a : a + block]]
+            for b in range(a if one == other else 0, len(q), block):
+                right = tokens[q[b : b + block]]
+                same = np.zeros((len(left), len(right)), np.int32)
+                for k in range(tokens.shape[1]):
+                    same += left[:, k, None] == right[None, :, k]
+                i, j = np.nonzero(same >= least)
+                yield p[i + a], q[j + b]
 
-def _template_rows(similar: int, lead: int):
-    """(group, line, tokens, known) sorted by group and line in; (line, template) out.
 
-    Rows with ``known`` are templates already and come first; what joins none in a group that has them is left for a later round.
-    """
-    schema = pa.schema([("line", pa.int64()), ("template", pa.int64())])
+def _linked(similar: int):
+    """(line, smallest line reached) of the lines of a group (group, line, tokens, side) that reach another."""
 
-    def run(batches):
-        group, leaf = None, None
-        for batch in batches:
-            groups, lines, known = (batch.column(i).to_pylist() for i in (0, 1, 3))
-            out = ([], [])
-            for i, (g, line) in enumerate(zip(groups, lines, strict=True)):
-                tokens = np.frombuffer(batch.column(2)[i].as_py(), np.uint64)
-                if g != group:
-                    group, leaf, names, given = g, Leaf(len(tokens), similar, lead), [], known[i]
-                if known[i]:
-                    leaf.add(tokens)
-                    names.append(line)
-                    continue
-                t = leaf.find(tokens) if given else leaf.put(tokens)
-                if t == len(names):
-                    names.append(line)
-                if t >= 0 and names[t] != line:
-                    out[0].append(line)
-                    out[1].append(names[t])
-            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], schema=schema)
+    def work(batches):
+        lines = np.concatenate([b.column(1).to_numpy() for b in batches])
+        if len(lines) < 2:
+            return []
+        blobs = [x for b in batches for x in b.column(2).to_pylist()]
+        tokens = np.frombuffer(b"".join(blobs), np.uint64).reshape(len(lines), -1)
+        least = _least(tokens.shape[1], similar)
+        if len(lines) == 2:
+            return [(int(lines.max()), int(lines.min()))] if (tokens[0] == tokens[1]).sum() >= least else []
+        root = spanning(len(lines), links(tokens, np.concatenate([b.column(3).to_numpy() for b in batches]), least))
+        smallest = np.full(len(lines), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, root, lines)
+        return [(int(a), int(b)) for a, b in zip(lines, smallest[root], strict=True) if a != b]
 
-    return run
+    return work
 
 
 def _parsed(rows: DataFrame, similar: int, n: int) -> DataFrame:
-    """``line, template`` of rows (group, line, tokens, known), a group in one task."""
-    met = rows.select("group", "line", "tokens", "known").repartition(n, "group").sortWithinPartitions("group", F.col("known").desc(), "line")
-    return met.mapInArrow(_template_rows(similar, LEAD), "line long, template long")
+    """Links ``a, b`` of rows (group, line, tokens, side), a group in one task."""
+    met = rows.select("group", "line", "tokens", "side").repartition(n, "group").sortWithinPartitions("group", "line")
+    return map_arrow(met, groups_of(_linked(similar), _LINKS), "a long, b long")
 
 
 def _segment_rows(similar: int, lead: int):
-    """(leaf, line, tokens) in; (key, line) of each segment out."""
-    schema = pa.schema([("key", pa.int64()), ("line", pa.int64())])
+    """(leaf, line, tokens) in; (key, leaf, line) of each segment out."""
+    schema = pa.schema([("key", pa.int64()), ("leaf", pa.int64()), ("line", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            keys, lines = [], []
+            keys, leaves, lines = [], [], []
             for leaf, line, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 n = len(blob) // 8
                 cuts = _segments(n, _least(n, similar), min(lead, n))
                 for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                     keys.append(xxhash.xxh3_64_intdigest(b"%d %d " % (leaf, p) + blob[8 * a : 8 * b]))
+                    leaves.append(leaf)
                     lines.append(line)
-            yield pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(lines, pa.int64())], schema=schema)
+            yield pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(leaves, pa.int64()), pa.array(lines, pa.int64())], schema=schema)
 
     return run
 
 
-def _parsed_large(rows: DataFrame, similar: int, n: int, size: int) -> DataFrame:
-    """``line, template`` of rows (leaf, line, tokens) of leaves of more than ``size`` lines, no more than about twice ``size`` in a task."""
-    rows = stored(rows, "large")
-    keys = stored(rows.mapInArrow(_segment_rows(similar, LEAD), "key long, line long"), "segments")
-    first = keys.groupBy("key").agg(F.min("line").alias("a"))
-    roots = components(keys.join(first, "key").select(F.col("line").alias("b"), "a")).select(F.col("node").alias("line"), F.col("root").alias("group"))
-    rest = stored(rows.join(roots.distinct(), "line").select("group", "line", "tokens"), "rest")  # a line alone is its own template
-    found = None
-    while True:
-        sizes = cut(rest.groupBy("group").agg(F.count("*").alias("m"), F.min("line").alias("lo"), F.max("line").alias("hi")))
-        if sizes.isEmpty():
-            return found
-        # hashes are evenly spread: the lines up to the bound are about ``size``, and one at least
-        bound = F.when(F.col("m") > size, F.greatest("lo", (F.col("lo") + (F.col("hi").cast("double") - F.col("lo")) * (F.lit(size) / F.col("m"))).cast("long"))).otherwise(F.col("hi"))
-        sized = sizes.select("group", F.ceil(F.col("m") / size).cast("int").alias("parts"), bound.alias("bound"))
-        met = rest.join(sized, "group")
-        head, tail = met.where("line <= bound"), met.where("line > bound")
-        joined = cut(_parsed(head.withColumn("known", F.lit(False)), similar, n))
-        names = head.where("parts > 1").join(joined, "line", "left_anti")
-        copies = names.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("known", F.lit(True))
-        dealt = tail.withColumn("part", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int")).withColumn("known", F.lit(False))
-        both = copies.select("group", "part", "line", "tokens", "known").unionByName(dealt.select("group", "part", "line", "tokens", "known"))
-        caught = cut(_parsed(both.withColumn("group", F.xxhash64("group", "part")), similar, n))
-        found = joined.unionByName(caught) if found is None else found.unionByName(joined).unionByName(caught)
-        rest = stored(tail.join(caught, "line", "left_anti").select("group", "line", "tokens"), "rest")
-
-
-def templates(lines: DataFrame, similar: int, n: int, min_tokens: int, texts: DataFrame) -> DataFrame:
-    """``line, template``: lines that joined a template named after another line."""
-    leaves = lines.groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("line").alias("x"), F.max("line").alias("y"), F.count("*").alias("n"))
-    open_ = cut(leaves.where("a <> b AND x <> y").select("leaf", "n"))
-    maps = open_.select("leaf").coalesce(8).mapInArrow(_bitmap, "bits binary").collect()  # eight rows of a fixed size
-    bits = np.zeros(BLOOM // 8, np.uint8)
-    for row in maps:
-        bits |= np.frombuffer(row["bits"], np.uint8)
-    likely = texts.sparkSession.sparkContext.broadcast(bits.tobytes())
-    with_tokens = texts.mapInArrow(_lines(min_tokens, likely), _SQL_LINES).join(open_.select("leaf"), "leaf").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
-    # different lines are counted only where the rows are many: the size decides how a leaf is parsed, not what comes out
-    many = open_.where(F.col("n") > LEAF).select("leaf")
-    large = None
-    if not many.isEmpty():
-        different = lines.join(many, "leaf").select("leaf", "line").distinct().groupBy("leaf").agg(F.count("*").alias("m"))
-        large = cut(different.where(F.col("m") > LEAF).select("leaf"))
-    if large is None or large.isEmpty():
-        return _parsed(with_tokens.select(F.col("leaf").alias("group"), "line", "tokens", F.lit(False).alias("known")), similar, n)
-    with_tokens = stored(with_tokens, "tokens")
-    small = with_tokens.join(large, "leaf", "left_anti")
-    small = _parsed(small.select(F.col("leaf").alias("group"), "line", "tokens", F.lit(False).alias("known")), similar, n)
-    split = _parsed_large(with_tokens.join(large, "leaf", "left_semi"), similar, n, LEAF)
-    return small if split is None else small.unionByName(split)
+def _parts(m: str, n: str):
+    """Parts that ``m`` lines of ``n`` tokens each are dealt into; 1 within the bounds."""
+    many = F.greatest(F.ceil(F.col(m) / (LEAF // 2)), F.ceil(F.col(m) * F.col(n) / (WEIGHT // 2)))
+    return F.when((F.col(m) > LEAF) | (F.col(m) * F.col(n) > WEIGHT), F.least(many, F.col(m))).otherwise(1).cast("int")
+
+
+def _parsed_large(rows: DataFrame, sized: DataFrame, similar: int, n: int, files: int) -> DataFrame:
+    """``line, template`` of rows (leaf, line, tokens) of the leaves of ``sized`` (leaf, m, n, parts) that exceed the bounds."""
+    keys = stored(map_arrow(rows, _segment_rows(similar, LEAD), "key long, leaf long, line long"), "segments", files)
+    shared = keys.groupBy("key", "leaf").agg(F.count("*").alias("k")).where("k > 1").join(sized.select("leaf", "n"), "leaf").select("key", "leaf", "k", _parts("k", "n").alias("parts"))
+    shared = cut(shared, files)
+    # of both ways the one of fewer rows
+    dear = shared.groupBy("leaf").agg(F.sum(F.col("k") * F.col("parts")).alias("rows")).join(sized, "leaf", "right").where(F.coalesce("rows", F.lit(0)) > F.col("m") * F.col("parts")).select("leaf", "parts")
+    dear = cut(dear, files)
+    by_leaf = pair_blocks(rows.join(dear, "leaf").select("leaf", F.col("line").alias("id"), "parts"), "leaf")
+    by_segment = keys.join(shared.join(dear.select("leaf"), "leaf", "left_anti").select("key", "parts"), "key").select("key", F.col("line").alias("id"), "parts")
+    dealt = by_leaf.unionByName(pair_blocks(by_segment, "key")).withColumnRenamed("id", "line")
+    found = _parsed(dealt.join(rows.select("line", "tokens"), "line"), similar, n)
+    return components(found, files=files).select(F.col("node").alias("line"), F.col("root").alias("template")).where("line <> template")
+
+
+def templates(lines: DataFrame, similar: int, n: int, min_tokens: int, texts: DataFrame, files: int) -> DataFrame:
+    """``line, template``: lines whose template is named after another line, its smallest."""
+    leaves = lines.groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("line").alias("x"), F.max("line").alias("y"))
+    open_ = cut(leaves.where("a <> b AND x <> y").select("leaf"), files)
+    maps = map_arrow(map_arrow(open_.coalesce(8), _bitmap, "bits binary").repartition(1), _either, "bits binary").collect()  # one row of a fixed size
+    likely = texts.sparkSession.sparkContext.broadcast(maps[0]["bits"] if maps else bytes(BLOOM // 8))
+    # leaves that the bit map lets through by chance are parsed in vain: their lines have no second document
+    met = map_arrow(texts, _lines(min_tokens, likely), _SQL_LINES).groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
+    with_tokens = stored(met, "tokens", files)
+    likely.destroy()
+    sizes = with_tokens.groupBy("leaf").agg(F.count("*").alias("m"), (F.max(F.length("tokens")) / 8).cast("long").alias("n"))
+    large = cut(sizes.select("leaf", "m", "n", _parts("m", "n").alias("parts")).where("parts > 1"), files)
+    whole = lambda rows: _parsed(rows.select(F.col("leaf").alias("group"), "line", "tokens", F.lit(0).alias("side")), similar, n).select(F.col("a").alias("line"), F.col("b").alias("template"))
+    if large.isEmpty():
+        return whole(with_tokens)
+    split = _parsed_large(stored(with_tokens.join(large.select("leaf"), "leaf", "left_semi"), "large", files), large, similar, n, files)
+    return whole(with_tokens.join(large.select("leaf"), "leaf", "left_anti")).unionByName(split)
 
 
 def recurring(documents: DataFrame, similar: int = SIMILAR, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, line_no, template`` of every line to drop."""
     n = partitions_for(documents.sparkSession)
     texts = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    lines = stored(texts.mapInArrow(_lines(min_tokens), _SQL_LINES).drop("tokens"), "lines")
-    joined = cut(templates(lines, similar, n, min_tokens, texts))
+    files = files_for(texts)
+    lines = stored(map_arrow(texts, _lines(min_tokens), _SQL_LINES).drop("tokens"), "lines", files)
+    joined = cut(templates(lines, similar, n, min_tokens, texts, files), files)
     # a hot line is one row per task after the partial aggregation, here and below
     named = lines.select("doc_id", "line").groupBy("line").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
     named = named.join(joined, "line", "left").withColumn("template", F.coalesce("template", "line"))
@@ -274,7 +246,7 @@ def recurring(documents: DataFrame, similar: int = SIMILAR, min_tokens: int = MI
     if min_docs > 2:
         every = lines.join(joined, "line", "left").select(F.coalesce("template", "line").alias("template"), "doc_id").distinct()
         joint = joint.join(every.groupBy("template").count().where(F.col("count") >= min_docs).select("template"), "template", "left_semi")
-    hot = cut(named.join(joint, "template").select("line", "template", "first"))
+    hot = cut(named.join(joint, "template").select("line", "template", "first"), files)
     return lines.join(hot, "line").where("doc_id <> first").select("doc_id", "line_no", "template")
 
 
@@ -309,9 +281,21 @@ def line_dedup(documents: DataFrame, similar: int = SIMILAR, min_tokens: int = M
     at = met.columns.index(text)
     run = _dropper(at, len(met.columns) - 1, keep_empty, documents.columns)
     out = T.StructType([T.StructField(f.name, T.StringType() if f.name == text else f.dataType, True) for f in schema])
-    return met.mapInArrow(run, out)
+    return map_arrow(met, run, out)
 
 
 def dropped(documents: DataFrame, **options) -> DataFrame:
     """``doc_id, n_dropped, lines`` of the documents that lose lines: the decisions as data."""
     return recurring(documents, **options).groupBy("doc_id").agg(F.count("*").alias("n_dropped"), F.sort_array(F.collect_list("line_no")).alias("lines"))
+
+
+def template_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``template, tokens, n_lines``: the templates that lose lines, with ``<*>`` at places in which those lines differ."""
+    gone = recurring(documents, key=key, text=text, **options)
+    line = F.expr(f"split(element_at(split(lower(`{text}`), '\\n'), line_no + 1), '[ \\t\\r\\f\\x0B]+')")
+    cut_out = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias(text)).dropDuplicates(["doc_id"]).join(gone, "doc_id")
+    words = cut_out.select("template", F.transform(F.array_remove(line, ""), lambda x: F.when(x.rlike("[0-9]"), ANY.decode()).otherwise(x)).alias("w"))
+    places = words.select("template", F.posexplode("w").alias("at", "w")).groupBy("template", "at").agg(F.min("w").alias("x"), F.max("w").alias("y"), F.count("*").alias("n_lines"))
+    token = F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(ANY.decode())
+    ordered = F.array_sort(F.collect_list(F.struct("at", token.alias("w"))))
+    return places.groupBy("template").agg(F.transform(ordered, lambda x: x["w"]).alias("tokens"), F.max("n_lines").alias("n_lines"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, ascii_words, cut, fresh_dir, local_path, mixed, open_input, open_output, remainder, word_hashes
+from .common import MIX_A, ascii_words, cut, fresh_dir, local_path, map_arrow, mixed, open_input, open_output, remainder, word_hashes
 
 SHARD_TOKENS = 4_000_000
 FLUSH = 2_000_000
@@ -228,9 +228,9 @@ def train(texts: DataFrame, text: str = "text", folder: str | None = None, shard
     shards = max(1, -(-int(size) // shard_tokens))
 
     def merged(rows):
-        return cut(rows.repartition(max(shards, 1), "kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(_merger(folder, shards), ROWS))
+        return cut(map_arrow(rows.repartition(max(shards, 1), "kind", "shard").sortWithinPartitions("kind", "shard"), _merger(folder, shards), ROWS))
 
-    one = merged(picked.mapInArrow(_counter(shards), ROWS))
+    one = merged(map_arrow(picked, _counter(shards), ROWS))
     two = merged(one.where("kind = 'follows'"))
     done = one.where("kind LIKE '%-done'").unionByName(two).collect()  # a row for each shard and level
     files: dict[str, dict[int, str]] = {}
@@ -337,7 +337,7 @@ def score(documents: DataFrame, state: dict, key: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["k", "n_tokens", "n_known", "base_score", "score"])
 
     picked = documents.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    return picked.mapInArrow(run, f"k {kind}, n_tokens long, n_known long, base_score double, score double").withColumnRenamed("k", key)
+    return map_arrow(picked, run, f"k {kind}, n_tokens long, n_known long, base_score double, score double").withColumnRenamed("k", key)
 
 
 def lm_scores(documents: DataFrame, train_rows: Column | None = None) -> DataFrame:

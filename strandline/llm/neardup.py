@@ -9,8 +9,8 @@ parts, and each pair of parts meets in a task of its own (a *block*), so all its
 Inside a block, all signatures are compared, and what agrees well enough joins a
 *cluster* (connected components, computed by Spark). Each cluster then meets once with its
 texts, where every pair that the signatures allow is confirmed on the full shingle sets unless
-both are linked already; clusters beyond the bound are dealt into blocks too, or confirmed in the
-blocks of their regions where those are fewer rows. Only spanning links leave a task. Rows are
+both are linked already; clusters beyond a bound are dealt into blocks too, or confirmed in the
+blocks of their regions where those are fewer rows (up to ``CROWD`` parts of ``CLUSTER`` classes a pair, beyond that of ``REGION``). Only spanning links leave a task. Rows are
 linear in the classes but for crowds, where a class goes into as many blocks as there are parts.
 
 A link is lost only if its classes share no region in any tree ((1 - 0.8**3)**16 = 1e-5 at a
@@ -18,7 +18,7 @@ similarity of 0.8) or if the estimate from 128 min-hashes is over 4 standard dev
 
 Defined cases: a null or empty text, or one without words, has an empty set, links with nothing
 and is kept; fewer words than a shingle make one shingle; repeated rows of one doc_id are copies
-of each other; rows with a null doc_id pass through unlinked; very long texts are
+of each other; rows with a null doc_id link with nothing, have a null component_id and are kept; very long texts are
 read whole; an empty table gives an empty result; other columns are not read.
 """
 
@@ -30,12 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, MIX_B, MIX_C, ascii_words, components, cut, partitions_for, shingles, stored, word_hashes
+from .common import MIX_A, MIX_B, MIX_C, ascii_words, components, cut, files_for, groups_of, map_arrow, pair_blocks, partitions_for, shingles, spanning, stored, word_hashes
 
 TREES, DEPTH, MIN_DEPTH = 16, 8, 3
 HASHES = TREES * DEPTH
-REGION, WEIGHT = 2048, 4_000_000
-HEADS = 16  # not read any more; a test sets it
+REGION, CLUSTER, CROWD, WEIGHT = 2048, 256, 24, 4_000_000
 MARGIN = 0.15  # what an estimate may lie below the threshold: over 4 standard deviations of 128 min-hashes
 _MULTIPLY = ((np.arange(1, HASHES + 1, dtype=np.uint64) * MIX_A) ^ ((np.arange(1, HASHES + 1, dtype=np.uint64) * MIX_B) >> np.uint64(31)) | np.uint64(1)).astype(np.uint32) | np.uint32(1)
 _ADD = (np.arange(1, HASHES + 1, dtype=np.uint64) * MIX_C >> np.uint64(32)).astype(np.uint32)
@@ -73,63 +72,23 @@ def sketch(documents: DataFrame, words: int, key: str = "doc_id", text: str = "t
     """``doc_id, n_shingles, digest, sig``: digest and sig are null for empty sets."""
     kind = documents.schema[key].dataType.simpleString()
     picked = documents.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return picked.mapInArrow(_sketcher(words), f"doc_id {kind}, n_shingles long, digest binary, sig binary")
+    return map_arrow(picked, _sketcher(words), f"doc_id {kind}, n_shingles long, digest binary, sig binary")
 
 
-def _parts(n: str, weight: str):
-    """Parts that a group of ``n`` classes and ``weight`` shingles is dealt into; 1 within the bounds."""
-    many = F.greatest(F.ceil(F.col(n) / (REGION // 2)), F.ceil(F.col(weight) / (WEIGHT // 2)))
-    return F.when((F.col(n) > REGION) | (F.col(weight) > WEIGHT), F.least(many, F.col(n))).otherwise(1).cast("int")
-
-
-def blocks(rows: DataFrame, key: str) -> DataFrame:
-    """``group, id, side`` of rows (key, id, parts): a group for each pair of parts of a key.
-
-    Side 0 meets all of its group; sides 1 and 2 are two parts, of which only pairs across are due.
-    """
-    own = F.pmod(F.xxhash64(F.lit("part"), F.col("id")), F.col("parts")).cast("int")
-    met = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    side = F.when(F.col("_own") == F.col("_other"), 0).when(F.col("_own") < F.col("_other"), 1).otherwise(2)
-    return met.select(F.xxhash64(F.lit(key), key, F.least("_own", "_other"), F.greatest("_own", "_other")).alias("group"), "id", side.alias("side"))
+def _parts(n: str, weight: str, most: int):
+    """Parts that a group of ``n`` classes and ``weight`` shingles is dealt into; 1 up to ``most`` classes and ``WEIGHT``."""
+    many = F.greatest(F.least(F.ceil(F.col(n) / (most // 2)), F.lit(CROWD)), F.ceil(F.col(n) / (REGION // 2)), F.ceil(F.col(weight) / (WEIGHT // 2)))
+    return F.when((F.col(n) > most) | (F.col(weight) > WEIGHT), F.least(many, F.col(n))).otherwise(1).cast("int")
 
 
 def forest(classes: DataFrame) -> DataFrame:
-    """``region, id, parts`` for every region of two classes or more."""
+    """``region, id, parts, text_parts`` for every region of two classes or more: its parts for signatures and for texts."""
     branch = lambda t: F.substring(F.col("sig"), t * (2 * DEPTH) + 1, F.lit(2 * MIN_DEPTH))
     regions = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, branch(t))))
     rows = classes.select("id", "weight", regions.alias("region"))
     size = rows.groupBy("region").agg(F.count("*").alias("_n"), F.sum("weight").alias("_w")).where("_n > 1")
-    return rows.join(size.select("region", _parts("_n", "_w").alias("parts")), "region").select("region", "id", "parts")
-
-
-class _Groups:
-    """Runs ``work(rows)`` on each group of consecutive rows with one value in column 0."""
-
-    def __init__(self, work, schema: pa.Schema):
-        self.work, self.schema = work, schema
-
-    def __call__(self, batches):
-        held, key, out = [], None, []
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            if not len(keys):
-                continue
-            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]]), strict=True):
-                if keys[lo] != key:
-                    if held:
-                        out += self.work(held)
-                    held, key = [], keys[lo]
-                held.append(batch.slice(int(lo), int(hi - lo)))
-            if len(out) > 10_000:
-                yield self._batch(out)
-                out = []
-        if held:
-            out += self.work(held)
-        yield self._batch(out)
-
-    def _batch(self, rows):
-        return pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(self.schema)], schema=self.schema)
+    parts = size.select("region", _parts("_n", "_w", REGION).alias("parts"), _parts("_n", "_w", CLUSTER).alias("text_parts"))
+    return rows.join(parts, "region").select("region", "id", "parts", "text_parts")
 
 
 class _Union:
@@ -188,15 +147,7 @@ def _cluster_region(least: float):
         sig = np.concatenate([_signatures(b.column(2)) for b in batches])
         if len(ids) == 2 and not _column(batches, 3).any():
             return [(int(ids.min()), int(ids.max()))] if (sig[0] == sig[1]).sum() >= least * HASHES and ids[0] != ids[1] else []
-        root = np.arange(len(ids))
-        for i, j, _ in _likely(sig, _column(batches, 3), least):
-            while (apart := root[i] != root[j]).any():
-                i, j = i[apart], j[apart]
-                low = np.minimum(root[i], root[j])
-                np.minimum.at(root, root[i], low)
-                np.minimum.at(root, root[j], low)
-                while (root != root[root]).any():
-                    root = root[root]
+        root = spanning(len(ids), ((i, j) for i, j, _ in _likely(sig, _column(batches, 3), least)))
         least_id = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(least_id, root, ids)
         return [(int(a), int(b)) for a, b in zip(least_id[root], ids, strict=True) if a != b]
@@ -250,33 +201,34 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, key
     spark = documents.sparkSession
     n = partitions_for(spark)
     least = max(0.05, percent / 100 - MARGIN)
-    all_docs = stored(sketch(documents, words, key, text), "sketch")
+    files = files_for(documents.select(key, text))
+    all_docs = stored(sketch(documents, words, key, text), "sketch", files)
     sets = all_docs.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = stored(sets.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("weight"), F.first("sig").alias("sig")), "classes")
-    regions = cut(forest(classes))
-    members = blocks(regions, "region").join(classes.select("id", "sig"), "id").select("group", "id", "sig", "side").repartition(n, "group").sortWithinPartitions("group", "id")
-    agree = members.mapInArrow(_Groups(_cluster_region(least), _EDGES), "a long, b long").distinct()
-    clusters = components(agree).join(classes.select(F.col("id").alias("node"), "weight"), "node")
-    clusters = cut(clusters.withColumnRenamed("node", "id"))
+    classes = stored(sets.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("weight"), F.first("sig").alias("sig")), "classes", files)
+    regions = cut(forest(classes), files)
+    members = pair_blocks(regions, "region").join(classes.select("id", "sig"), "id").select("group", "id", "sig", "side").repartition(n, "group").sortWithinPartitions("group", "id")
+    agree = map_arrow(members, groups_of(_cluster_region(least), _EDGES), "a long, b long").distinct()
+    clusters = components(agree, files=files).join(classes.select(F.col("id").alias("node"), "weight"), "node")
+    clusters = cut(clusters.withColumnRenamed("node", "id"), files)
     size = clusters.groupBy("root").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
-    sized = cut(size.select("root", "n", _parts("n", "w").alias("parts")).where("parts > 1"))
+    sized = cut(size.select("root", "n", _parts("n", "w", CLUSTER).alias("parts")).where("parts > 1"), files)
     few = clusters.select("id", "root")
     groups = few.join(sized.select("root"), "root", "left_anti").select(F.col("root").alias("group"), "id", F.lit(0).alias("side"))
     if not sized.isEmpty():
         wide = few.join(sized, "root").select("root", "id", "parts")
         # pairs to confirm share a region too; what takes fewer rows is done
-        rows = regions.join(wide.select("id", "root"), "id").groupBy("root").agg(F.sum("parts").alias("rows"))
-        dearer = cut(sized.join(rows, "root").where(F.col("rows") < F.col("n") * F.col("parts")).select("root"))
-        groups = groups.unionByName(blocks(wide.join(dearer, "root", "left_anti"), "root"))
-        groups = groups.unionByName(blocks(regions.join(wide.join(dearer, "root", "left_semi").select("id"), "id"), "region"))
+        rows = regions.join(wide.select("id", "root"), "id").groupBy("root").agg(F.sum("text_parts").alias("rows"))
+        dearer = cut(sized.join(rows, "root").where(F.col("rows") < F.col("n") * F.col("parts")).select("root"), files)
+        groups = groups.unionByName(pair_blocks(wide.join(dearer, "root", "left_anti"), "root"))
+        groups = groups.unionByName(pair_blocks(regions.join(wide.join(dearer, "root", "left_semi").select("id"), "id").select("region", "id", F.col("text_parts").alias("parts")), "region"))
     texts = documents.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     with_sig = groups.join(classes.select("id", "sig"), "id")
     met = texts.join(with_sig, "id").select("group", "id", "sig", "text", "side").repartition(n, "group").sortWithinPartitions("group", "id")
-    links = met.mapInArrow(_Groups(_confirm(words, percent, least), _EDGES), "a long, b long").distinct()
-    roots = components(links)
+    links = map_arrow(met, groups_of(_confirm(words, percent, least), _EDGES), "a long, b long").distinct()
+    roots = components(links, files=files)
     home = classes.select("digest", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("root", "id").alias("_root"))
     named = all_docs.select("doc_id", "n_shingles", "digest").join(home, "digest", "left")
-    component = F.coalesce("_root", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_root", "doc_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions_for
+from .common import map_arrow, partitions_for
 
 SCALE = 1024
 LEAST_BLOCK, MOST_BLOCK, QUERY_BLOCK, DIMS = 2048, 65_536, 256, 8
@@ -157,9 +157,9 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 10, key: str = "vec_
     blocks = max(1, -(-n // size))
     # ids are dealt by hash; a salt keeps rows of one id apart
     to = F.pmod(F.xxhash64(F.col(key), F.xxhash64(vector)), F.lit(blocks))
-    candidates = rows.select(F.col(key).cast("long"), vector, to.alias("part")).mapInArrow(_pack(blocks, False), _PACKED)
-    queries = rows.where(is_query).select(F.col(key).cast("long"), vector, to.alias("part")).mapInArrow(_pack(blocks, True), _PACKED)
+    candidates = map_arrow(rows.select(F.col(key).cast("long"), vector, to.alias("part")), _pack(blocks, False), _PACKED)
+    queries = map_arrow(rows.where(is_query).select(F.col(key).cast("long"), vector, to.alias("part")), _pack(blocks, True), _PACKED)
     met = candidates.unionByName(queries).repartition(min(blocks, 4096), "part").sortWithinPartitions("part", "kind")
-    found = met.mapInArrow(_searcher(k), "query_id long, vec_id long, score long")
+    found = map_arrow(met, _searcher(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

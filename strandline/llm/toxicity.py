@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, MIX_C, Words, mixed, remainder, sample_fraction
+from .common import MIX_A, MIX_C, Words, map_arrow, mixed, remainder, sample_fraction
 
 BITS = 21
 MAX_ROWS = 12_000
@@ -120,7 +120,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", train=Non
         return np.zeros(0, np.int64), np.zeros(0), (positive / n if n else 0.0)
     keep = sample_fraction("doc_id", max_rows / n)
     rows = documents.select("doc_id", "text").where(keep).join(known.where(keep), "doc_id")
-    out = rows.select(F.col("doc_id").cast("string"), "text", "_y").repartition(1).mapInArrow(_trainer(bits, epochs, min_rows), "at long, w double")
+    out = map_arrow(rows.select(F.col("doc_id").cast("string"), "text", "_y").repartition(1), _trainer(bits, epochs, min_rows), "at long, w double")
     mean = out.toPandas()  # at most (1 << bits) + 1 rows
     return mean["at"].to_numpy(np.int64), mean["w"].to_numpy(float), positive / n
 
@@ -153,7 +153,7 @@ def score(documents: DataFrame, model, key: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer(t.as_py()) for t in batch.column(1)], pa.float64())], names=["k", "score"])
 
     picked = documents.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    return picked.mapInArrow(run, f"k {kind.simpleString()}, score double").withColumnRenamed("k", key)
+    return map_arrow(picked, run, f"k {kind.simpleString()}, score double").withColumnRenamed("k", key)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -172,4 +172,4 @@ def keep_clean(documents: DataFrame, model, threshold: float = THRESHOLD) -> Dat
         for batch in batches:
             yield batch.filter(pa.array([scorer(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return map_arrow(documents, run, documents.schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_dir, open_input, open_output, partitions_for
+from .common import cut, fresh_dir, map_arrow, open_input, open_output, partitions_for
 
 CHUNK = 1 << 20
 FILE_BYTES = 1 << 28
@@ -102,7 +102,7 @@ def plan(pages: DataFrame, least: int = 0) -> DataFrame:
 
 def write(pages: DataFrame, folder: str, least: int = 0, chunk: int = CHUNK, level: int = 1) -> DataFrame:
     """Writes the archives and returns their manifest."""
-    return cut(plan(pages, least).mapInArrow(_writer(folder, chunk, level), MANIFEST))
+    return cut(map_arrow(plan(pages, least), _writer(folder, chunk, level), MANIFEST))
 
 
 class _Bytes:
@@ -219,7 +219,7 @@ def _reader(chunk: int, payload: bool, batch_bytes: int = 1 << 23):
 
 def read(spark: SparkSession, archives: DataFrame, chunk: int = CHUNK, payload: bool = True) -> DataFrame:
     """The chunk table of the archives whose paths are in ``archives.path``; ``payload=False`` leaves the bytes out."""
-    return archives.select("path").repartition(partitions_for(spark)).mapInArrow(_reader(chunk, payload), CHUNKS)
+    return map_arrow(archives.select("path").repartition(partitions_for(spark)), _reader(chunk, payload), CHUNKS)
 
 
 def archive(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:

@@ -48,12 +48,34 @@ def strand(x: Column | str) -> Column:
 
 
 def strand_matches(a: Column, b: Column, which: str) -> Column:
-    """``same`` or ``opposite``; a missing strand passes."""
-    if which not in ("same", "opposite"):
-        raise ValueError(f"strand must be 'same' or 'opposite', not {which!r}")
+    """``same`` or ``opposite``; a missing strand passes, and what is neither + nor - counts as '.'."""
+    check_strand(which)
+    a, b = strand(a), strand(b)
     return a.isNull() | b.isNull() | ((a == b) if which == "same" else (a != b))
 
 
+def check_strand(which: str | None) -> None:
+    if which not in ("same", "opposite", None):
+        raise ValueError(f"strand must be 'same' or 'opposite', not {which!r}")
+
+
+STRANDS = ("+", "-", ".")
+ANY_STRAND = "*"
+
+
+def strand_group(x: Column | str) -> Column:
+    """The group a row of A belongs to: its strand, or the one that sees every row of B."""
+    return F.coalesce(strand(x), F.lit(ANY_STRAND))
+
+
+def strand_groups(x: Column | str, which: str) -> Column:
+    """The groups of A that see a row of B: an array for ``explode``."""
+    check_strand(which)
+    own, every = strand(x), [F.lit(s) for s in (*STRANDS, ANY_STRAND)]
+    seen = F.array(own, F.lit(ANY_STRAND)) if which == "same" else F.filter(F.array(*every), lambda s: s != own)
+    return F.when(own.isNull(), F.array(*every)).otherwise(seen)
+
+
 def natural_key(chrom: Column | str) -> list[Column]:
     """Sort keys under which chr2 comes before chr10: text before the number, number (none: last), rest, all."""
     c = col(chrom)

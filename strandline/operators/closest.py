@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.algebra import closest_distance, strand_matches
+from ..functions.algebra import check_strand, closest_distance, strand_group, strand_groups, strand_matches
 from ..plans.rangejoin import Bins, range_join, with_row_id
 from ..plans.sweep import resolve_tile, running
 
 
-def _with_neighbours(a: DataFrame, b: DataFrame, tile: int | None) -> DataFrame:
-    """``a`` with ``_up``, the largest end of B at or before its start, and ``_down``, the smallest start of B at or after its end."""
+def _with_neighbours(a: DataFrame, b: DataFrame, by: list[str], tile: int | None) -> DataFrame:
+    """``a`` with ``_up``, the largest end of B at or before its start, ``_down``, the smallest start of B at or after its end, and ``_n``, the number of rows of B that are neither, so overlap it."""
     row = F.struct(*a.columns)
-    a_rows = a.select("chrom", F.col("start").alias("_p"), F.lit(1).alias("_k"), F.lit(None).cast("long").alias("_v"), row.alias("_row"))
-    b_ends = b.select("chrom", F.col("end").alias("_p"), F.lit(0).alias("_k"), F.col("end").alias("_v"), F.lit(None).cast(a_rows.schema["_row"].dataType).alias("_row"))
-    up = running(a_rows.unionByName(b_ends), ["chrom"], ["_p", "_k"], {"_up": ("max", F.col("_v"))}, tile).where("_row IS NOT NULL")
+    one = F.when(F.col("_row").isNull(), F.lit(1).cast("long"))
+    a_rows = a.select(*by, F.col("start").alias("_p"), F.lit(1).alias("_k"), F.lit(None).cast("long").alias("_v"), row.alias("_row"))
+    b_ends = b.select(*by, F.col("end").alias("_p"), F.lit(0).alias("_k"), F.col("end").alias("_v"), F.lit(None).cast(a_rows.schema["_row"].dataType).alias("_row"))
+    up = running(a_rows.unionByName(b_ends), by, ["_p", "_k"], {"_up": ("max", F.col("_v")), "_nu": ("sum", one)}, tile).where("_row IS NOT NULL")
     # an empty row of B where an empty row of A is counts as upstream only
-    a_ends = up.select("chrom", F.col("_row.end").alias("_p"), F.when(F.col("_row.start") == F.col("_row.end"), 2).otherwise(0).alias("_k"), F.lit(None).cast("long").alias("_v"), "_row", "_up")
-    b_starts = b.select("chrom", F.col("start").alias("_p"), F.when(F.col("start") == F.col("end"), 1).otherwise(3).alias("_k"), F.col("start").alias("_v"))
+    a_ends = up.select(*by, F.col("_row.end").alias("_p"), F.when(F.col("_row.start") == F.col("_row.end"), 2).otherwise(0).alias("_k"), F.lit(None).cast("long").alias("_v"), "_row", "_up", "_nu")
+    b_starts = b.select(*by, F.col("start").alias("_p"), F.when(F.col("start") == F.col("end"), 1).otherwise(3).alias("_k"), F.col("start").alias("_v"))
     both = a_ends.unionByName(b_starts, allowMissingColumns=True)
-    down = running(both, ["chrom"], ["_p", "_k"], {"_down": ("min", F.col("_v"))}, tile, reverse=True).where("_row IS NOT NULL")
-    return down.select("_row.*", "_up", "_down")
+    down = running(both, by, ["_p", "_k"], {"_down": ("min", F.col("_v")), "_nd": ("sum", one)}, tile, reverse=True).where("_row IS NOT NULL")
+    total = b.groupBy(*by).agg(F.count("*").alias("_total"))  # a row for each chromosome
+    met = down.join(total, by, "left")
+    return met.select("_row.*", "_up", "_down", (F.coalesce("_total", F.lit(0)) - F.col("_nu") - F.col("_nd")).alias("_n"))
 
 
 def closest(
@@ -41,24 +44,21 @@ def closest(
     Distance is 0 if overlapping, else the bases between plus one. Rows with none left have
     b_chrom '.', b_start, b_end and distance -1. ``tie`` keeps all nearest rows, the ``first`` or the
     ``last`` by (b_start, b_end, other columns). With ``strand`` only rows of B of the ``same`` or
-    ``opposite`` strand count, and rows of A without one see all.
+    ``opposite`` strand count; rows without a strand see and are seen by all, and what is neither + nor - is '.'.
     """
     if tie not in ("all", "first", "last"):
         raise ValueError(f"tie must be all, first or last, not {tie!r}")
-    if strand is not None:
-        return _by_strand(a, b, strand, tie, ignore_overlapping, ignore_upstream, ignore_downstream, max_distance, bins, tile)
+    check_strand(strand)
     columns, others = a.columns, [f"b_{c}" for c in b.columns]
-    keyed = _with_neighbours(with_row_id(a), b, resolve_tile(tile, a, b))
-    if ignore_overlapping:
-        hits = None
-        alone = keyed
-    else:
-        joined = range_join(keyed, b, "left", bins=bins)
-        has = F.max(F.col("b_chrom").isNotNull()).over(Window.partitionBy("_aid"))
-        n = F.row_number().over(Window.partitionBy("_aid").orderBy(F.lit(0)))
-        marked = joined.withColumn("_has", has).withColumn("_n", n)
-        hits = marked.where("b_chrom IS NOT NULL").select("_aid", *columns, *others)
-        alone = marked.where("NOT _has AND _n = 1").select("_aid", *columns, "_up", "_down")
+    by = ["chrom"] if strand is None else ["chrom", "_g"]
+    seen = b if strand is None else b.withColumn("_g", F.explode(strand_groups("strand", strand)))
+    keyed = with_row_id(a) if strand is None else with_row_id(a).withColumn("_g", strand_group("strand"))
+    alone = _with_neighbours(keyed, seen, by, resolve_tile(tile, a, b))
+    hits = None
+    if not ignore_overlapping:
+        alone = alone.where("_n = 0")
+        test = strand_matches(F.col("strand"), F.col("b_strand"), strand) if strand else None
+        hits = range_join(with_row_id(a), b, "inner", test, bins=bins).select("_aid", *columns, *others)
     up = F.lit(None).cast("long") if ignore_upstream else F.col("start") - F.col("_up") + 1
     down = F.lit(None).cast("long") if ignore_downstream else F.col("_down") - F.col("end") + 1
     best = alone.withColumn("_du", up).withColumn("_dd", down).withColumn("_best", F.least("_du", "_dd"))
@@ -66,31 +66,24 @@ def closest(
         best = best.withColumn("_best", F.when(F.col("_best") <= max_distance, F.col("_best")))
     side = lambda name, at: F.struct(F.lit(name).alias("s"), F.col(at).alias("p"))
     sides = F.array_compact(F.array(F.when(F.col("_du") == F.col("_best"), side("u", "_up")), F.when(F.col("_dd") == F.col("_best"), side("d", "_down"))))
-    wanted = best.select("_aid", *columns, F.explode_outer(sides).alias("_w"))
-    ends = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns]).withColumn("_x", F.explode(F.array(F.struct(F.lit("u").alias("s"), F.col("b_end").alias("p")), F.struct(F.lit("d").alias("s"), F.col("b_start").alias("p")))))
+    wanted = best.select("_aid", *columns, *by[1:], F.explode_outer(sides).alias("_w"))
+    ends = seen.select(*[F.col(c).alias(f"b_{c}") for c in seen.columns]).withColumn("_x", F.explode(F.array(F.struct(F.lit("u").alias("s"), F.col("b_end").alias("p")), F.struct(F.lit("d").alias("s"), F.col("b_start").alias("p")))))
     on = (F.col("chrom") == F.col("b_chrom")) & (F.col("_w.s") == F.col("_x.s")) & (F.col("_w.p") == F.col("_x.p"))
+    if strand is not None:
+        on = on & (F.col("_g") == F.col("b__g"))
     # an empty row of B where an empty row of A is would be met from both sides
     on = on & ~((F.col("_w.s") == "d") & (F.col("b_end") <= F.col("start")))
     near = wanted.join(ends, on, "left").select("_aid", *columns, *others)
-    pairs = near if hits is None else hits.unionByName(near)
     if tie != "all":
         key = F.struct("b_start", "b_end", *[c for c in others if c not in ("b_start", "b_end")])
         pick = (F.min if tie == "first" else F.max)(key).alias("_b")
-        pairs = pairs.groupBy("_aid").agg(F.first(F.struct(*columns)).alias("_r"), pick).select("_aid", "_r.*", "_b.*")
+        # a row has either overlaps or neighbours, so each side picks by itself
+        one = lambda pairs: pairs.groupBy("_aid", *columns).agg(pick).select("_aid", *columns, "_b.*")
+        near, hits = one(near), hits if hits is None else one(hits)
+    pairs = near if hits is None else hits.unionByName(near)
     none = F.col("b_chrom").isNull()
     signed = closest_distance("start", "end", "b_start", "b_end")
     out = pairs.withColumn("signed_distance", signed).withColumn("distance", F.coalesce(F.abs("signed_distance"), F.lit(-1).cast("long")))
     filled = {"b_chrom": F.when(none, ".").otherwise(F.col("b_chrom")), "b_start": F.coalesce("b_start", F.lit(-1).cast("long")), "b_end": F.coalesce("b_end", F.lit(-1).cast("long"))}
     return out.select(*columns, *[filled[c].alias(c) if c in filled else F.col(c) for c in others], "distance", "signed_distance")
 
-
-def _by_strand(a, b, strand, *rest) -> DataFrame:
-    if strand not in ("same", "opposite"):
-        strand_matches(F.lit(None), F.lit(None), strand)
-    tie, io, iu, id_, most, bins, tile = rest
-    options = dict(tie=tie, ignore_overlapping=io, ignore_upstream=iu, ignore_downstream=id_, max_distance=most, bins=bins, tile=tile)
-    out = closest(a.where("strand IS NULL"), b, **options)
-    for own in ("+", "-", "."):
-        fits = (F.col("strand") == own) if strand == "same" else (F.col("strand") != own)
-        out = out.unionByName(closest(a.where(F.col("strand") == own), b.where(F.col("strand").isNull() | fits), **options))
-    return out

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.algebra import length, strand_matches
-from ..plans.rangejoin import Bins, by_row, range_join, with_row_id
+from ..functions.algebra import length, strand_group, strand_groups, strand_matches
+from ..plans.rangejoin import Bins, range_join, with_row_id
+from ..plans.sweep import each_base, islands, resolve_tile, running
 
 MODES = ("basic", "mean", "hist", "all", "per_base")
 
 
-def coverage(a: DataFrame, b: DataFrame, mode: str = "basic", strand: str | None = None, bins: Bins | None = None) -> DataFrame:
+def coverage(a: DataFrame, b: DataFrame, mode: str = "basic", strand: str | None = None, bins: Bins | None = None, tile: int | str | None = "auto") -> DataFrame:
     """Coverage of ``a`` by ``b`` (rows of ``a`` stay apart, equal ones too).
 
     basic: n_overlaps, bases_covered, length, fraction; mean: mean_depth; hist: depth, bases, length, fraction for
@@ -20,27 +21,57 @@ def coverage(a: DataFrame, b: DataFrame, mode: str = "basic", strand: str | None
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
+    if mode in ("basic", "mean"):
+        return _totals(a, b, mode, strand, resolve_tile(tile, a, b))
     few = b.select("chrom", "start", "end", *(["strand"] if strand else []))
     test = strand_matches(F.col("strand"), F.col("b_strand"), strand) if strand else None
     joined = range_join(with_row_id(a), few, "left", test, bins=bins)
-    s, e, size = F.greatest("start", "b_start"), F.least("end", "b_end"), length("start", "end")
     hit = F.col("b_chrom").isNotNull()
-    cut = joined.select("_aid", *a.columns, F.when(hit, s).alias("_cs"), F.when(hit, e).alias("_ce"))
-    if mode == "basic":
-        w = Window.partitionBy("_aid").orderBy("_cs", "_ce").rowsBetween(Window.unboundedPreceding, -1)
-        new = F.greatest(F.col("_ce") - F.greatest(F.col("_cs"), F.coalesce(F.max("_ce").over(w), F.col("_cs"))), F.lit(0).cast("long"))
-        rows = by_row(cut.withColumn("_new", F.when(F.col("_cs").isNotNull(), new)), a.columns, F.count("_cs").alias("_n"), F.coalesce(F.sum("_new"), F.lit(0)).cast("long").alias("_c"))
-        full = size > 0
-        return rows.select(*a.columns, F.when(full, F.col("_n")).otherwise(0).cast("long").alias("n_overlaps"), F.when(full, F.col("_c")).otherwise(0).cast("long").alias("bases_covered"), size.alias("length"), F.when(full, F.col("_c") / size).otherwise(0.0).alias("fraction"))
-    if mode == "mean":
-        rows = by_row(cut, a.columns, F.coalesce(F.sum(F.col("_ce") - F.col("_cs")), F.lit(0)).cast("long").alias("_d"))
-        return rows.select(*a.columns, F.when(size > 0, F.col("_d") / size).otherwise(0.0).alias("mean_depth"))
+    cut = joined.select("_aid", *a.columns, F.when(hit, F.greatest("start", "b_start")).alias("_cs"), F.when(hit, F.least("end", "b_end")).alias("_ce"))
     # A's columns ride along as one struct, so the row id is assigned once
     row = F.struct(*a.columns).alias("_row")
     keyed = cut.select("_aid", row, "_cs", "_ce")
     return _depths(keyed, mode)
 
 
+def _totals(a: DataFrame, b: DataFrame, mode: str, strand: str | None, tile: int | None) -> DataFrame:
+    """Counts and bases as differences of running sums at the ends of each row of A: no pairs are made.
+
+    Bases of B before x are the sum of x - start over the rows that began before, less that of x - end over those that
+    ended; for covered bases the same over the merged rows.
+    """
+    by = ["chrom"] if strand is None else ["chrom", "_g"]
+    keyed = a if strand is None else a.withColumn("_g", strand_group("strand"))
+    seen = (b if strand is None else b.withColumn("_g", F.explode(strand_groups("strand", strand)))).select(*by, "start", "end")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def marks(rows: DataFrame, sign: str) -> DataFrame:
+        """Starts (2) and ends (0) with what they add: n rows open, p the sum of their places with that sign."""
+        both = F.explode(F.array(F.struct(F.col("start").alias("_p"), F.lit(2).alias("_k"), one.alias("n"), F.col("start").alias("p")), F.struct(F.col("end").alias("_p"), F.lit(0).alias("_k"), (-one).alias("n"), (-F.col("end")).alias("p"))))
+        x = rows.select(*by, both.alias("x")).select(*by, "x._p", "x._k", F.col("x.n").alias(f"_{sign}n"), F.col("x.p").alias(f"_{sign}p"))
+        return x.withColumn("_end", F.when(F.col("_k") == 0, one)).withColumn("_start", F.when(F.col("_k") == 2, one)) if sign == "r" else x
+
+    events = marks(seen, "r")
+    if mode == "basic":
+        hulls = islands(seen.where("start < end"), by, 0, tile).groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        events = events.unionByName(marks(hulls, "m"), allowMissingColumns=True)
+    sign = "m" if mode == "basic" else "r"
+    row = F.struct(*a.columns)
+    sums = {"_n": ("sum", F.col(f"_{sign}n")), "_q": ("sum", F.col(f"_{sign}p")), "_s": ("sum", F.col("_start")), "_e": ("sum", F.col("_end"))}
+    bases = lambda at: F.col("_n") * F.col(at) - F.col("_q")
+    at = lambda rows, place, *kept: rows.select(*by, F.col(place).alias("_p"), F.lit(1).alias("_k"), *kept)
+    # rows of A come after the ends and before the starts at their place
+    first = running(at(keyed, "start", row.alias("_row")).unionByName(events, allowMissingColumns=True), by, ["_p", "_k"], sums, tile).where("_row IS NOT NULL")
+    first = first.select(*by, "_row", bases("_row.start").alias("_from"), F.col("_e").alias("_before"))
+    last = running(at(first, "_row.end", "_row", "_from", "_before").unionByName(events, allowMissingColumns=True), by, ["_p", "_k"], sums, tile).where("_row IS NOT NULL")
+    size = length("start", "end")
+    rows = last.select("_row.*", (F.col("_s") - F.col("_before")).alias("_c"), (bases("_row.end") - F.col("_from")).alias("_b"))
+    if mode == "mean":
+        return rows.select(*a.columns, F.when(size > 0, F.col("_b") / size).otherwise(0.0).alias("mean_depth"))
+    full = size > 0
+    return rows.select(*a.columns, F.when(full, F.col("_c")).otherwise(zero).alias("n_overlaps"), F.when(full, F.col("_b")).otherwise(zero).alias("bases_covered"), size.alias("length"), F.when(full, F.col("_b") / size).otherwise(0.0).alias("fraction"))
+
+
 def _depths(keyed: DataFrame, mode: str) -> DataFrame:
     """Depth runs inside each row of A from its clipped overlaps, in one pass over the pairs."""
     at = lambda pos, d: F.struct(pos.alias("pos"), F.lit(d).cast("long").alias("delta"))
@@ -54,8 +85,8 @@ def _depths(keyed: DataFrame, mode: str) -> DataFrame:
     empty = row_start >= row_end
     kept = runs.where(F.col("_e").isNotNull() | empty).withColumn("_n", F.coalesce(F.col("_e") - F.col("_s"), F.lit(0)).cast("long"))
     if mode == "per_base":
-        bases = kept.where("_e IS NOT NULL").select("_row", "depth", F.explode(F.sequence(F.col("_s") - row_start + 1, F.col("_e") - row_start)).alias("offset"))
-        return bases.select("_row.*", "offset", "depth")
+        bases = kept.where("_e IS NOT NULL").select("_row", "depth", (F.col("_s") - row_start).alias("_s"), (F.col("_e") - row_start).alias("_e"))
+        return each_base(bases, "_s", "_e", "offset").select("_row.*", "offset", "depth")
     if mode == "all":
         total = kept.groupBy("depth").agg(F.sum("_n").alias("bases"))  # a row for each depth
         total = total.withColumn("length", F.sum("bases").over(Window.partitionBy(F.lit(0))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.sweep import depth_segments, resolve_tile
+from ..plans.sweep import depth_segments, each_base, resolve_tile
 from ..sources.genome import small_genome
 
 MODES = ("hist", "bg", "bga", "per_base")
@@ -31,6 +31,6 @@ def genomecov(df: DataFrame, genome: DataFrame, mode: str = "hist", scale: float
         return sized.unionByName(whole).withColumn("fraction", F.col("bases") / F.col("size"))
     scaled = F.floor(F.col("depth") * F.lit(float(scale))).cast("long") if scale != 1.0 else F.col("depth")
     if mode == "per_base":
-        return runs.select("chrom", F.explode(F.sequence(F.col("start") + 1, F.col("end"))).alias("pos"), scaled.alias("depth"))
+        return each_base(runs.select("chrom", "start", "end", scaled.alias("depth")), "start", "end", "pos").select("chrom", "pos", "depth")
     kept = runs if mode == "bga" else runs.where("depth > 0")
     return kept.select("chrom", "start", "end", scaled.alias("depth"))

@@ -64,7 +64,7 @@ def intersect(
         return rows.where("count = 0").select(columns) if no_overlap else rows.select(*columns, "count")
     if unique:
         few = b.select("chrom", "start", "end", *(["strand"] if strand else []))
-        return by_row(range_join(keyed, few, "inner", test, bins=bins), columns).select(columns)
+        return by_row(range_join(keyed, few, "left_semi", test, bins=bins), columns).select(columns)
     pairs = range_join(keyed, b, "inner", test, bins=bins)
     others = [f"b_{c}" for c in b.columns]
     if report_once:

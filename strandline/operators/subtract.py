@@ -6,10 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.rangejoin import Bins, range_join, with_row_id
-from .intersect import intersect, pair_condition
+from ..plans.sweep import resolve_tile, running
+from .intersect import intersect, pair_condition, segment
 
 
-def subtract(a: DataFrame, b: DataFrame, remove_entire: bool = False, fraction: float | None = None, reciprocal: bool = False, strand: str | None = None, bins: Bins | None = None) -> DataFrame:
+def _gaps(a: DataFrame, b: DataFrame, tile: int | None) -> DataFrame:
+    """``chrom, start, end`` of what ``b`` leaves of each chromosome of ``a``, up to the last end of ``a``. An empty row of ``b`` in a gap cuts it."""
+    reach = running(b.select("chrom", "start", "end"), ["chrom"], ["start", "end"], {"_reach": ("max", F.col("end"))}, tile, before=True)
+    zero = F.lit(0).cast("long")
+    between = reach.select("chrom", F.coalesce("_reach", zero).alias("s"), F.col("start").alias("e")).where("s < e")
+    ends = a.groupBy("chrom").agg(F.max("end").alias("e")).join(b.groupBy("chrom").agg(F.max("end").alias("s")), "chrom", "left")  # a row for each chromosome
+    return between.unionByName(ends.select("chrom", F.coalesce("s", zero).alias("s"), "e").where("s < e")).withColumnsRenamed({"s": "start", "e": "end"})
+
+
+def subtract(a: DataFrame, b: DataFrame, remove_entire: bool = False, fraction: float | None = None, reciprocal: bool = False, strand: str | None = None, bins: Bins | None = None, tile: int | str | None = "auto") -> DataFrame:
     """What rows of ``b`` leave of each row of ``a``; only pairs that meet ``fraction`` subtract.
 
     An empty row of ``b`` strictly inside A splits it. ``remove_entire`` drops A on any such pair.
@@ -17,6 +27,10 @@ def subtract(a: DataFrame, b: DataFrame, remove_entire: bool = False, fraction:
     if remove_entire:
         return intersect(a, b, no_overlap=True, fraction=fraction, reciprocal=reciprocal, strand=strand, bins=bins)
     few = b.select("chrom", "start", "end", *(["strand"] if strand else []))
+    if fraction is None and strand is None:
+        # every pair subtracts, so A is cut to the gaps of B and no row of A gathers its partners
+        left = range_join(a.where("start < end"), _gaps(a, few, resolve_tile(tile, b)), bins=bins).select(segment(a.columns))
+        return left.unionByName(intersect(a.where("start >= end"), few, no_overlap=True, bins=bins))
     joined = range_join(with_row_id(a), few, "left", pair_condition(fraction, None, reciprocal, strand), bins=bins)
     s, e = F.greatest("start", "b_start"), F.least("end", "b_end")
     cut = joined.select("_aid", *a.columns, F.when(F.col("b_chrom").isNotNull(), s).alias("_cs"), F.when(F.col("b_chrom").isNotNull(), e).alias("_ce"))

@@ -78,13 +78,13 @@ def range_join(
 ) -> DataFrame:
     """Pairs of overlapping rows of ``a`` and ``b``; the columns of ``b`` get the prefix ``b_``.
 
-    ``how`` is inner or left (rows of ``a`` without a partner once, nulls for b). A row of ``a`` reaches
+    ``how`` is inner, left (rows of ``a`` without a partner once, nulls for b) or left_semi (rows of ``a`` alone). A row of ``a`` reaches
     ``left_slop`` bases further left (not below 0) and ``right_slop`` further right.
     ``condition`` is a further condition on both sides' columns. With ``left`` a row has one such null row for
-    every bin without a partner, so aggregate by a row id (``by_row``).
+    every bin without a partner, and with ``left_semi`` it stands for every bin in which a partner begins, so aggregate by a row id (``by_row``).
     """
-    if how not in ("inner", "left"):
-        raise ValueError(f"how must be 'inner' or 'left', not {how!r}")
+    if how not in ("inner", "left", "left_semi"):
+        raise ValueError(f"how must be 'inner', 'left' or 'left_semi', not {how!r}")
     bins = bins or choose_bins(a, b, slop=left_slop + right_slop)
     right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
     start = F.greatest(F.col("start") - left_slop, F.lit(0).cast("long")) if left_slop else F.col("start")
@@ -112,6 +112,6 @@ def with_row_id(df: DataFrame, name: str = "_aid") -> DataFrame:
 
 
 def by_row(joined: DataFrame, columns: list[str], *aggregates: Column) -> DataFrame:
-    """Aggregates pairs to the rows of A that ``_aid`` tells apart; ``columns`` come along."""
-    grouped = joined.groupBy("_aid").agg(F.first(F.struct(*columns)).alias("_r"), *aggregates)
-    return grouped.select("_aid", "_r.*", *[c for c in grouped.columns if c not in ("_aid", "_r")])
+    """Aggregates pairs to the rows of A that ``_aid`` tells apart; ``columns`` come along as keys, so sums and counts stay in hash aggregates."""
+    grouped = joined.groupBy("_aid", *columns)
+    return grouped.agg(*aggregates) if aggregates else grouped.agg(F.lit(1).alias("_one")).drop("_one")

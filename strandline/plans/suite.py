@@ -1,8 +1,9 @@
 """Queries over interval views of the ``events`` table, each with its SQL twin.
 
 A user's events lie on chromosome ``chr<user_id mod 10>`` at the second they happened and last
-100 seconds for each unit of value. Set a has views and clicks, b purchases and
-signups, c errors. The genome has chr0 to chr9 and an empty chromosome.
+100 seconds for each unit of value. Set a has views and clicks but for chr9, b purchases and
+signups but for chr0, c errors. The genome has chr0 to chr9 and an empty chromosome. Set s, for orders, has the views and clicks on chr0 to
+chr24; its genome lists some of them, backwards.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from .. import operators as ops
 from ..functions.algebra import distance, length, overlap_length
 from ..functions.text import general6, plain6
 
-from ..operators.sort import sort_keys
 from ..sources.bed import format_bed, parse_lines
 from ..sources.genome import genome_frame
 from ..sources.validate import order_faults
@@ -24,14 +24,18 @@ from .rangejoin import range_join
 
 ORIGIN = 1704067200  # 2024-01-01T00:00:00Z
 SIZES = [(f"chr{i}", 2_700_000) for i in range(10)] + [("chrEmpty", 1000)]
-NAMES = {"a": ("view", "click"), "b": ("purchase", "signup"), "c": ("error",)}
+NAMES = {"a": ("view", "click"), "b": ("purchase", "signup"), "c": ("error",), "s": ("view", "click")}
+LACKS = {"a": 9, "b": 0}  # so each of a and b has a chromosome that the other lacks
+ORDER = [f"chr{i}" for i in range(22, 3, -1)]
 
 
 def intervals(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_type").isin(*NAMES[which]))
+    if which in LACKS:
+        e = e.where(F.col("user_id") % 10 != LACKS[which])
     start = F.unix_seconds(F.col("ts").cast("timestamp")) - F.lit(ORIGIN).cast("long")
     return e.select(
-        F.col("event_id").alias("id"), F.concat(F.lit("chr"), (F.col("user_id") % 10).cast("string")).alias("chrom"), start.alias("start"),
+        F.col("event_id").alias("id"), F.concat(F.lit("chr"), (F.col("user_id") % (25 if which == "s" else 10)).cast("string")).alias("chrom"), start.alias("start"),
         (start + F.floor(F.col("value") * 100)).alias("end"), F.col("event_type").alias("name"), F.col("value").alias("score"),
         F.when(F.col("event_id") % 2 == 0, "+").otherwise("-").alias("strand"),
     )
@@ -41,13 +45,18 @@ def genome(spark: SparkSession) -> DataFrame:
     return genome_frame(spark, SIZES)
 
 
+def backwards(spark: SparkSession) -> DataFrame:
+    return genome_frame(spark, [(c, 2_700_000) for c in ORDER])
+
+
 VIEWS = """iv AS (
   SELECT event_id AS id, 'chr' || CAST(user_id % 10 AS VARCHAR) AS chrom, CAST(date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts) AS BIGINT) AS "start",
     CAST(date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts) AS BIGINT) + CAST(floor(value * 100) AS BIGINT) AS "end",
-    event_type AS name, value AS score, CASE WHEN event_id % 2 = 0 THEN '+' ELSE '-' END AS strand FROM events),
-a AS (SELECT * FROM iv WHERE name IN ('view', 'click')),
-b AS (SELECT * FROM iv WHERE name IN ('purchase', 'signup')),
-c AS (SELECT * FROM iv WHERE name = 'error'),
+    event_type AS name, value AS score, CASE WHEN event_id % 2 = 0 THEN '+' ELSE '-' END AS strand, user_id FROM events),
+a AS (SELECT * EXCLUDE (user_id) FROM iv WHERE name IN ('view', 'click') AND user_id % 10 <> 9),
+b AS (SELECT * EXCLUDE (user_id) FROM iv WHERE name IN ('purchase', 'signup') AND user_id % 10 <> 0),
+s AS (SELECT * EXCLUDE (user_id) REPLACE ('chr' || CAST(user_id % 25 AS VARCHAR) AS chrom), CAST(user_id % 25 AS INTEGER) AS number FROM iv WHERE name IN ('view', 'click')),
+c AS (SELECT * EXCLUDE (user_id) FROM iv WHERE name = 'error'),
 genome AS (SELECT 'chr' || CAST(i AS VARCHAR) AS chrom, CAST(2700000 AS BIGINT) AS size, CAST(i AS INTEGER) AS ord FROM range(10) t(i) UNION ALL SELECT 'chrEmpty', 1000, 10)"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,18 +174,15 @@ _one("merge_tiled", _islands_sql(0, "chrom", ", count(*) AS count"), lambda s, a
 
 COVER = f"""+ h AS (SELECT a.id AS aid, greatest(a."start", b."start") AS cs, least(a."end", b."end") AS ce FROM a JOIN b ON {HIT}),
 g AS (SELECT *, greatest(0, ce - greatest(cs, coalesce(max(ce) OVER (PARTITION BY aid ORDER BY cs, ce ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), cs))) AS fresh FROM h),
-s AS (SELECT aid, count(*) AS n, sum(fresh) AS cov, sum(ce - cs) AS dep FROM g GROUP BY aid),
+t AS (SELECT aid, count(*) AS n, sum(fresh) AS cov, sum(ce - cs) AS dep FROM g GROUP BY aid),
 v AS (SELECT aid, pos, sum(d) AS d FROM (SELECT id AS aid, "start" AS pos, 0 AS d FROM a UNION ALL SELECT id, "end", 0 FROM a UNION ALL SELECT aid, cs, 1 FROM h WHERE cs < ce UNION ALL SELECT aid, ce, -1 FROM h WHERE cs < ce) GROUP BY ALL),
 r AS (SELECT aid, pos AS s, lead(pos) OVER w AS e, sum(d) OVER w AS depth FROM v WINDOW w AS (PARTITION BY aid ORDER BY pos)),
 hist AS (SELECT aid, depth, sum(coalesce(e - s, 0)) AS bases FROM r JOIN a ON a.id = aid WHERE e IS NOT NULL OR a."start" >= a."end" GROUP BY ALL)
 """
 SIZE = '(a."end" - a."start")'
-_pair(
-    "coverage_basic",
-    COVER + f"SELECT {A}, CASE WHEN {SIZE} > 0 THEN coalesce(n, 0) ELSE 0 END AS n_overlaps, CAST(CASE WHEN {SIZE} > 0 THEN coalesce(cov, 0) ELSE 0 END AS BIGINT) AS bases_covered, {SIZE} AS length, CASE WHEN {SIZE} > 0 THEN CAST(coalesce(cov, 0) AS DOUBLE) / {SIZE} ELSE 0 END AS fraction FROM a LEFT JOIN s ON aid = a.id",
-    lambda a, b: ops.coverage(a, b),
-)
-_pair("coverage_mean", COVER + f"SELECT {A}, CASE WHEN {SIZE} > 0 THEN CAST(coalesce(dep, 0) AS DOUBLE) / {SIZE} ELSE 0 END AS mean_depth FROM a LEFT JOIN s ON aid = a.id", lambda a, b: ops.coverage(a, b, "mean"))
+BASIC = COVER + f"SELECT {A}, CASE WHEN {SIZE} > 0 THEN coalesce(n, 0) ELSE 0 END AS n_overlaps, CAST(CASE WHEN {SIZE} > 0 THEN coalesce(cov, 0) ELSE 0 END AS BIGINT) AS bases_covered, {SIZE} AS length, CASE WHEN {SIZE} > 0 THEN CAST(coalesce(cov, 0) AS DOUBLE) / {SIZE} ELSE 0 END AS fraction FROM a LEFT JOIN t ON aid = a.id"
+_pair("coverage_basic", BASIC, lambda a, b: ops.coverage(a, b))
+_pair("coverage_mean", COVER + f"SELECT {A}, CASE WHEN {SIZE} > 0 THEN CAST(coalesce(dep, 0) AS DOUBLE) / {SIZE} ELSE 0 END AS mean_depth FROM a LEFT JOIN t ON aid = a.id", lambda a, b: ops.coverage(a, b, "mean"))
 _pair("coverage_hist", COVER + f"SELECT {A}, CAST(depth AS BIGINT) AS depth, CAST(bases AS BIGINT) AS bases, {SIZE} AS length, CASE WHEN {SIZE} > 0 THEN CAST(bases AS DOUBLE) / {SIZE} ELSE 1 END AS fraction FROM a JOIN hist ON aid = a.id", lambda a, b: ops.coverage(a, b, "hist"))
 _pair("coverage_all", COVER + "SELECT 'all' AS chrom, CAST(depth AS BIGINT) AS depth, CAST(sum(bases) AS BIGINT) AS bases, CAST(sum(sum(bases)) OVER () AS BIGINT) AS length, CAST(sum(bases) AS DOUBLE) / CAST(sum(sum(bases)) OVER () AS DOUBLE) AS fraction FROM hist GROUP BY depth", lambda a, b: ops.coverage(a, b, "all"))
 _pair(
@@ -253,24 +259,24 @@ _add("multiinter3_cluster", _multi_sql("set1 + set2 + set3 = 3"), lambda s, *set
 
 
 def _order(name: str, order: str, mode: str, use_genome: bool = False, reverse: bool = False) -> None:
-    """Sorts return the order as data: a row's number within its chromosome."""
+    """Sorts return the order as data: the place of each row in the whole output."""
 
-    def build(spark, a):
-        keys = [*sort_keys(mode), F.col("id")]
-        rows = ops.sort(a, mode, genome=genome(spark) if use_genome else None, reverse=reverse, position="id")
-        w = Window.partitionBy("chrom").orderBy(*[k.desc() if reverse else k.asc() for k in keys])
-        return rows.select("id", "chrom", "start", "end", F.row_number().over(w).alias("rn"))
+    def build(spark, rows):
+        out = ops.sort(rows, mode, genome=backwards(spark) if use_genome else None, reverse=reverse, position="id")
+        # ids that rise along the output, counted up by one task; this shows the order, and is no part of sorting
+        placed = out.withColumn("_at", F.monotonically_increasing_id())
+        return placed.select("id", "chrom", "start", "end", F.row_number().over(Window.orderBy("_at")).alias("rn"))
 
-    _one(name, f'SELECT id, chrom, "start", "end", CAST(row_number() OVER (PARTITION BY chrom ORDER BY {order}) AS INTEGER) AS rn FROM a', build)
+    _add(name, f'SELECT id, chrom, "start", "end", CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rn FROM s', build, "s")
 
 
-_order("sort_default", '"start", "end", id', "default")
-_order("sort_reverse", '"start" DESC, "end" DESC, id DESC', "default", reverse=True)
-_order("sort_genome", '"start", "end", id', "default", use_genome=True)
-_order("sort_size_asc", '"end" - "start", "start", id', "size_asc")
-_order("sort_size_desc", '"start" - "end", "start", id', "size_desc")
-_order("sort_chrom", "id", "chrom")
-_order("sort_natural", '"start", "end", id', "natural")
+_order("sort_default", 'chrom, "start", "end", id', "default")
+_order("sort_reverse", 'chrom DESC, "start" DESC, "end" DESC, id DESC', "default", reverse=True)
+_order("sort_genome", 'CASE WHEN number BETWEEN 4 AND 22 THEN 22 - number ELSE 99 END, chrom, "start", "end", id', "default", use_genome=True)
+_order("sort_size_asc", '"end" - "start", chrom, "start", id', "size_asc")
+_order("sort_size_desc", '"end" - "start" DESC, chrom, "start", id', "size_desc")
+_order("sort_chrom", "chrom, id", "chrom")
+_order("sort_natural", 'number, "start", "end", id', "natural")
 
 _pair(
     "interval_distance",
@@ -282,9 +288,50 @@ _one(
     'SELECT chrom, "start", "end", name, CAST(floor(score) AS DOUBLE) AS score, strand FROM a',
     lambda s, a: parse_lines(format_bed(a.withColumn("score", F.floor("score").cast("double")))).select("chrom", "start", "end", "name", "score", "strand"),
 )
-_one(
+_add(
     "validate_sorted",
-    """+ f AS (SELECT chrom, "start", lag("start") OVER (PARTITION BY chrom ORDER BY id) AS p FROM a) SELECT chrom, count(*) AS n FROM f WHERE "start" < p GROUP BY chrom""",
-    lambda s, a: order_faults(a, position="id").where("reason LIKE 'start%'").groupBy("chrom").agg(F.count("*").alias("n")),
+    f"""+ p AS (SELECT *, (id * 7919) % 1000003 AS pos FROM s),
+f AS (SELECT chrom, "start", pos, lag("start") OVER (PARTITION BY chrom ORDER BY pos) AS before FROM p),
+sp AS (SELECT chrom, min(pos) AS lo, max(pos) AS hi FROM p GROUP BY chrom),
+ap AS (SELECT *, max(hi) OVER (ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM sp),
+g AS (SELECT unnest([{", ".join(f"'{c}'" for c in ORDER)}]) AS chrom, unnest(range({len(ORDER)})) AS o),
+pl AS (SELECT *, lag(o) OVER (ORDER BY lo) AS was FROM sp JOIN g USING (chrom)),
+r AS (SELECT chrom, pos, 'start position decreases' AS reason FROM f WHERE "start" < before
+  UNION ALL SELECT chrom, lo, 'chromosomes are not contiguous' FROM ap WHERE lo < was
+  UNION ALL SELECT chrom, lo, 'chromosome is not in the genome' FROM sp WHERE chrom NOT IN (SELECT chrom FROM g)
+  UNION ALL SELECT chrom, lo, 'chromosomes are not in genome order' FROM pl WHERE o < was)
+SELECT reason, chrom, count(*) AS n, min(pos) AS first_at FROM r GROUP BY ALL""",
+    lambda spark, rows: order_faults(rows.withColumn("pos", F.col("id") * 7919 % 1000003), backwards(spark), "pos").groupBy("reason", "chrom").agg(F.count("*").alias("n"), F.min("_pos").alias("first_at")),
+    "s",
+)
+_add("validate_good", "SELECT chrom FROM s WHERE false", lambda spark, rows: order_faults(rows.withColumn("pos", F.row_number().over(Window.orderBy("chrom", "start", "end"))), position="pos").select("chrom"), "s")
+_pair(
+    "format_fraction",
+    COVER + f""", x AS (SELECT a.id, CASE WHEN {SIZE} > 0 THEN CAST(coalesce(cov, 0) AS DOUBLE) / {SIZE} ELSE 0 END AS x FROM a LEFT JOIN t ON aid = a.id)
+SELECT id, printf('%.6g', x) AS general,
+  CASE WHEN x = 0 THEN '0' WHEN x >= 1e-4 THEN printf('%.6g', x) WHEN x >= 1e-5 THEN rtrim(printf('%.10f', x), '0') ELSE rtrim(printf('%.11f', x), '0') END AS plain FROM x""",
+    lambda a, b: ops.coverage(a, b).select("id", general6("fraction").alias("general"), plain6("fraction").alias("plain")),
 )
-_pair("format_fraction", None, lambda a, b: ops.coverage(a, b).select("id", general6("fraction").alias("general"), plain6("fraction").alias("plain")))
+
+# keys that are null, and strands that are neither + nor -
+NULLS = """+ n AS (SELECT id, CASE WHEN id % 7 = 0 THEN NULL ELSE chrom END AS chrom, "start", "end", name, score, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 = 1 THEN 'x' ELSE strand END AS strand FROM a),
+m AS (SELECT *, max("end") OVER (PARTITION BY chrom, strand ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM n),
+o AS (SELECT *, CASE WHEN pm IS NULL OR "start" > pm THEN 1 ELSE 0 END AS opens FROM m),
+i AS (SELECT *, sum(opens) OVER (PARTITION BY chrom, strand ORDER BY "start", "end", opens DESC ROWS UNBOUNDED PRECEDING) AS island FROM o)
+SELECT chrom, min("start") AS "start", max("end") AS "end", strand, count(*) AS count FROM i GROUP BY chrom, strand, island"""
+
+
+def _odd(df: DataFrame, chrom: bool = False) -> DataFrame:
+    out = df.withColumn("strand", F.expr("CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 = 1 THEN 'x' ELSE strand END"))
+    return out.withColumn("chrom", F.expr("if(id % 7 = 0, NULL, chrom)")) if chrom else out
+
+
+_one("merge_strand_null", NULLS, lambda s, a: ops.merge(_odd(a, True), strand=True, count=True))
+_one("merge_strand_null_tiled", NULLS, lambda s, a: ops.merge(_odd(a, True), strand=True, count=True, tile=100_000))
+ODD = "a AS (SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 = 1 THEN 'x' ELSE strand END AS strand) FROM a0),\nb AS (SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 = 1 THEN 'x' ELSE strand END AS strand) FROM b0),\nc AS"
+for _which, _sign in (("same", "="), ("opposite", "<>")):
+    _pair(f"closest_strand_odd_{_which}", _closest_sql(f"strand IS NULL OR b_strand IS NULL OR strand {_sign} b_strand"), lambda a, b, which=_which: ops.closest(_odd(a), _odd(b), strand=which))
+    ORACLES[f"closest_strand_odd_{_which}"] = ORACLES[f"closest_strand_odd_{_which}"].replace("\na AS (", "\na0 AS (").replace("\nb AS (", "\nb0 AS (").replace("\nc AS", "\n" + ODD, 1)
+_pair("subtract_tiled", _subtract_sql(HIT), lambda a, b: ops.subtract(a, b, tile=50_000))
+_pair("closest_tiled", _closest_sql(), lambda a, b: ops.closest(a, b, tile=50_000))
+_pair("coverage_tiled", BASIC, lambda a, b: ops.coverage(a, b, tile=50_000))

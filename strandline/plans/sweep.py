@@ -9,6 +9,8 @@ then over (chromosome, tile), so a genome of any size has as many tasks as tiles
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,7 +62,10 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], values: dict
     along = Window.partitionBy(*by).orderBy(F.col("_tile").desc() if reverse else F.col("_tile")).rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.select(*by, "_tile", *[fold[kind](f"_t_{name}").over(along).alias(f"_c_{name}") for name, (kind, _) in values.items()])
     w = Window.partitionBy(*by, "_tile").orderBy(*keys).rowsBetween(*frame)
-    met = tiled.join(carried, [*by, "_tile"])
+    # null keys are groups of their own, as in a window
+    keyed = carried.withColumnsRenamed({c: f"_k_{c}" for c in (*by, "_tile")})
+    on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*by, "_tile")])
+    met = tiled.join(keyed, on).drop(*[f"_k_{c}" for c in (*by, "_tile")])
     out = {}
     for name, (kind, x) in values.items():
         inner, carry = fold[kind](x).over(w), F.col(f"_c_{name}")
@@ -108,3 +113,13 @@ def islands(df: DataFrame, by: Sequence[str], distance: int = 0, tile: int | Non
     opens = reach.withColumn("_opens", F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + distance), 1).otherwise(0).cast("long"))
     opens = opens.withColumn("_tie", -F.col("_opens"))  # of equal rows, the one that opens comes first
     return running(opens, by, [*order, "_tie"], {"_island": ("sum", F.col("_opens"))}, tile).drop("_reach", "_opens", "_tie")
+
+
+PIECE = 10_000
+
+
+def each_base(runs: DataFrame, start: str, end: str, name: str) -> DataFrame:
+    """A row for each position of (start, end], in column ``name``; runs are cut into pieces first, so no array is longer than ``PIECE``."""
+    piece = F.explode(F.sequence(F.col(start), F.col(end) - 1, F.lit(PIECE).cast("long")))
+    pieces = runs.where(F.col(start) < F.col(end)).withColumn("_piece", piece)
+    return pieces.withColumn(name, F.explode(F.sequence(F.col("_piece") + 1, F.least(F.col("_piece") + PIECE, F.col(end))))).drop("_piece")

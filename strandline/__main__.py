@@ -1,4 +1,4 @@
-"""Command line: ``python -m strandline COMMAND ...``; results go to ``-o`` (a folder of text files) or standard output."""
+"""Command line: ``python -m strandline COMMAND ...``; results go to the file ``-o`` or standard output, inputs may be ``-``."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import argparse
 import sys
 
 from . import api
-from .sources.bed import format_bed
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,6 +27,10 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--allow-unsorted", action="store_true", help="accepted; no command needs sorted input")
         p.add_argument("--strict-sorted", action="store_true", help="fail if the input is not sorted")
         p.add_argument("--streaming", action="store_true", help="accepted; memory is bounded in any case")
+        p.add_argument("--stats", action="store_true", help="print numbers of rows to standard error")
+        if pair:
+            p.add_argument("--same-strand", dest="strand_rule", action="store_const", const="same")
+            p.add_argument("--opposite-strand", dest="strand_rule", action="store_const", const="opposite")
         return p
 
     flag = {"action": "store_true"}
@@ -81,10 +84,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--bg", "-bg", **flag)
     p.add_argument("--bga", "-bga", **flag)
     p.add_argument("--scale", type=float, default=1.0)
+    p.add_argument("--strand", choices=("+", "-"), dest="only_strand")
     command("jaccard", pair=True)
     p = command("multiinter")
     p.add_argument("-i", "--inputs", nargs="+", required=True)
     p.add_argument("--cluster", **flag)
+    p.add_argument("--header", **flag)
     p = sub.add_parser("generate")
     p.add_argument("output")
     p.add_argument("--a", default="1M")
@@ -96,51 +101,58 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def run(args: argparse.Namespace):
+def run(args: argparse.Namespace) -> None:
     a = vars(args)
     strict = {"strict_sorted": a.get("strict_sorted", False)}
-    read = lambda path: api._slim(path, zero_length=True) if args.bedtools_compatible else path
-    out = args.output
+    rows: dict[str, object] = {}
+
+    def read(path: str):
+        if not (args.bedtools_compatible or a.get("stats")) and path != "-":
+            return path
+        df = api._slim(path, zero_length=args.bedtools_compatible)
+        if a.get("stats"):
+            df = api.counted(df, rows, f"rows of {path}")
+        return df
+
+    out, strand = a.get("output") or "-", a.get("strand_rule")
     match args.command:
         case "sort":
-            return api.sort(args.input, out, args.genome, args.mode, args.reverse)
+            api.sort(args.input, out, args.genome, args.mode, args.reverse)
         case "merge":
-            return api.merge(read(args.input), out, args.distance, args.strand, args.count, **strict)
+            api.merge(read(args.input), out, args.distance, args.strand, args.count, **strict)
         case "intersect":
-            return api.intersect(read(args.a), read(args.b), out, args.wa, args.wb, args.fraction, args.reciprocal, args.count, args.unique, args.no_overlap, args.fraction_b, **strict)
+            api.intersect(read(args.a), read(args.b), out, args.wa, args.wb, args.fraction, args.reciprocal, args.count, args.unique, args.no_overlap, args.fraction_b, strand, **strict)
         case "subtract":
-            return api.subtract(read(args.a), read(args.b), out, args.remove_entire, args.fraction, args.reciprocal, **strict)
+            api.subtract(read(args.a), read(args.b), out, args.remove_entire, args.fraction, args.reciprocal, strand=strand, **strict)
         case "closest":
-            df = api.closest(read(args.a), read(args.b), out, args.distance, args.tie, args.io, args.iu, args.id, args.max_distance, **strict)
-            return df if df is None else df.drop("signed_distance", *([] if args.distance else ["distance"]))
+            api.closest(read(args.a), read(args.b), out, args.distance, args.tie, args.io, args.iu, args.id, args.max_distance, strand=strand, **strict)
         case "window":
-            return api.window(read(args.a), read(args.b), out, args.window, args.left, args.right, args.count, args.no_overlap, **strict)
+            api.window(read(args.a), read(args.b), out, args.window, args.left, args.right, args.count, args.no_overlap, strand=strand, **strict)
         case "coverage":
-            return api.coverage(read(args.a), read(args.b), out, args.hist, args.mean, args.per_base, **strict)
+            api.coverage(read(args.a), read(args.b), out, args.hist, args.mean, args.per_base, strand=strand, **strict)
         case "slop":
-            return api.slop(read(args.input), args.genome, out, args.both, args.left, args.right, args.strand, args.pct)
+            api.slop(read(args.input), args.genome, out, args.both, args.left, args.right, args.strand, args.pct)
         case "complement":
-            return api.complement(read(args.input), args.genome, out)
+            api.complement(read(args.input), args.genome, out)
         case "genomecov":
-            return api.genomecov(read(args.input), args.genome, out, args.bg, args.bga, args.per_base, args.scale)
+            api.genomecov(read(args.input), args.genome, out, args.bg, args.bga, args.per_base, args.scale, args.only_strand)
         case "jaccard":
-            return api.jaccard(read(args.a), read(args.b), out)
+            api.jaccard(read(args.a), read(args.b), out, strand)
         case "multiinter":
-            return api.multiinter([read(i) for i in args.inputs], out, args.cluster)
+            api.multiinter([read(i) for i in args.inputs], out, args.cluster, args.header)
         case "generate":
-            return api.generate(f"{args.output}/A.bed", f"{args.output}/B.bed", args.a, args.b, args.mode, args.seed, len_min=args.len_min, len_max=args.len_max)
+            api.generate(f"{args.output}/A.bed", f"{args.output}/B.bed", args.a, args.b, args.mode, args.seed, len_min=args.len_min, len_max=args.len_max)
+    for name, seen in rows.items():
+        print(f"{name}: {seen.get['rows']}", file=sys.stderr)
 
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
-        df = run(args)
-    except ValueError as e:
+        run(args)
+    except (ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
-    if df is not None:
-        for row in format_bed(df, columns=df.columns).toLocalIterator():
-            print(row[0])
     return 0
 
 

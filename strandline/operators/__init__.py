@@ -1,9 +1,9 @@
 """Interval operators on DataFrames with columns chrom, start, end and any others."""
 
-from .closest import closest
+from .closest import closest, closest_lists
 from .complement import complement
 from .coverage import coverage
-from .generate import generate
+from .generate import generate, generate_modes
 from .genomecov import genomecov
 from .intersect import intersect
 from .jaccard import jaccard
@@ -14,4 +14,4 @@ from .sort import sort
 from .subtract import subtract
 from .window import window
 
-__all__ = ["closest", "complement", "coverage", "generate", "genomecov", "intersect", "jaccard", "merge", "multiinter", "slop", "sort", "subtract", "window"]
+__all__ = ["closest", "closest_lists", "complement", "coverage", "generate", "generate_modes", "genomecov", "intersect", "jaccard", "merge", "multiinter", "slop", "sort", "subtract", "window"]

@@ -87,3 +87,11 @@ def closest(
     filled = {"b_chrom": F.when(none, ".").otherwise(F.col("b_chrom")), "b_start": F.coalesce("b_start", F.lit(-1).cast("long")), "b_end": F.coalesce("b_end", F.lit(-1).cast("long"))}
     return out.select(*columns, *[filled[c].alias(c) if c in filled else F.col(c) for c in others], "distance", "signed_distance")
 
+
+
+def closest_lists(a: DataFrame, b: DataFrame, **options) -> DataFrame:
+    """A with ``closest``, its nearest rows of ``b`` as structs that begin with ``signed_distance``, ``min_distance`` (of the first of them) and ``has_closest``."""
+    found = closest(with_row_id(a, "_row_id"), b, **options)
+    partner = F.struct("signed_distance", *[f"b_{c}" for c in b.columns])
+    listed = found.groupBy("_row_id", *a.columns).agg(F.array_sort(F.collect_list(F.when(F.col("distance") >= 0, partner))).alias("closest"))
+    return listed.select(*a.columns, "closest", F.try_element_at("closest", F.lit(1))["signed_distance"].alias("min_distance"), (F.size("closest") > 0).alias("has_closest"))

@@ -68,4 +68,8 @@ def generate(spark: SparkSession, size_a: int | str = "1M", size_b: int | str |
     return first, first if mode == "identical" else one(b, seed + 1)
 
 
-__all__ = ["HG38", "MODES", "generate", "genome_frame", "intervals"]
+def generate_modes() -> tuple[str, ...]:
+    return MODES
+
+
+__all__ = ["HG38", "MODES", "generate", "generate_modes", "genome_frame", "intervals"]

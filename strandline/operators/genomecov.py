@@ -11,15 +11,18 @@ from ..sources.genome import small_genome
 MODES = ("hist", "bg", "bga", "per_base")
 
 
-def genomecov(df: DataFrame, genome: DataFrame, mode: str = "hist", scale: float = 1.0, tile: int | str | None = "auto") -> DataFrame:
+def genomecov(df: DataFrame, genome: DataFrame, mode: str = "hist", scale: float = 1.0, tile: int | str | None = "auto", strand: str | None = None) -> DataFrame:
     """Depth of ``df`` over ``genome``; positions beyond a chromosome's end are cut off.
 
     hist: chrom, depth, bases, size, fraction for each chromosome and 'genome'; bg: runs of equal depth above 0;
     bga: with depth 0 too; per_base: pos (from 1) and depth. ``scale`` multiplies depths (cut to
     whole numbers) in all but hist. Chromosomes of size 0 are left out.
+    ``strand`` counts only rows of that strand.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
+    if strand is not None:
+        df = df.where(F.col("strand") == strand)
     genome = genome.where("size > 0")
     inside = df.select("chrom", "start", "end").join(small_genome(genome), "chrom").select("chrom", F.least("start", "size").alias("start"), F.least("end", "size").alias("end"))
     ends = genome.select("chrom", F.explode(F.array(F.lit(0).cast("long"), "size")).alias("pos"))

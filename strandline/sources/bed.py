@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.algebra import strand
+from ..functions.text import number
 
 MODES = ("FAILFAST", "DROPMALFORMED")
 BED12_SCHEMA = (
@@ -74,8 +77,12 @@ def to_numpy(df: DataFrame):
 
 
 def _score_text(score: Column, as_int: bool) -> Column:
-    whole = score == F.floor(score)
-    return F.when(whole | F.lit(as_int), F.format_string("%d", score.cast("bigint"))).otherwise(score.cast("string"))
+    return F.format_string("%d", score.cast("bigint")) if as_int else number(score)
+
+
+def _cell(df: DataFrame, name: str) -> Column:
+    text = number(name) if df.schema[name].dataType.simpleString() in ("double", "float") else F.col(name).cast("string")
+    return F.coalesce(text, F.lit("."))
 
 
 def format_bed(df: DataFrame, width: int = 6, score_as_int: bool = False, columns: list[str] | None = None) -> DataFrame:
@@ -84,7 +91,7 @@ def format_bed(df: DataFrame, width: int = 6, score_as_int: bool = False, column
     A field is printed only if those before it are. ``columns`` prints those columns instead; nulls are '.'.
     """
     if columns is not None:
-        return df.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in columns]).alias("value"))
+        return df.select(F.concat_ws("\t", *[_cell(df, c) for c in columns]).alias("value"))
     has = set(df.columns)
     get = lambda c, kind: F.col(c) if c in has else F.lit(None).cast(kind)
     name, score, sign = get("name", "string"), get("score", "double"), get("strand", "string")
@@ -98,7 +105,39 @@ def format_bed(df: DataFrame, width: int = 6, score_as_int: bool = False, column
     return df.select(F.concat_ws("\t", *fields).alias("value"))
 
 
-def write_bed(df: DataFrame, path: str, width: int = 6, score_as_int: bool = False, columns: list[str] | None = None, mode: str = "errorifexists", single: bool = False) -> None:
-    """Writes text files in the order of ``df``; ``single`` writes one file."""
+def write_bed(df: DataFrame, path: str, width: int = 6, score_as_int: bool = False, columns: list[str] | None = None, mode: str = "errorifexists", single: bool = False, header: str | None = None) -> None:
+    """Writes a folder of text files in the order of ``df``. ``single`` then joins them to one file, below an optional ``header`` line."""
     lines = format_bed(df, width, score_as_int, columns)
-    (lines.coalesce(1) if single else lines).write.mode(mode).text(path)
+    if not single:
+        lines.write.mode(mode).text(path)
+        return
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    try:
+        lines.write.text(parts)
+        _join(df.sparkSession, parts, path, header)
+    finally:
+        _system(df.sparkSession, parts)[0].delete(_system(df.sparkSession, parts)[1], True)
+
+
+def _system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _join(spark: SparkSession, parts: str, path: str, header: str | None) -> None:
+    """Streams part files into one, in the order of their names."""
+    (system, folder), (target, where) = _system(spark, parts), _system(spark, path)
+    copy = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes
+    names = sorted((s.getPath().toString() for s in system.listStatus(folder) if s.getPath().getName().startswith("part-")))
+    out = target.create(where, True)
+    try:
+        if header is not None:
+            out.write(bytearray((header + "\n").encode()))
+        for name in names:
+            source = system.open(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name))
+            try:
+                copy(source, out, 1 << 20, False)
+            finally:
+                source.close()
+    finally:
+        out.close()

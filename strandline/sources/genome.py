@@ -35,3 +35,24 @@ def small_genome(genome: DataFrame) -> DataFrame:
     """``genome`` with a broadcast hint if its plan says that it is small; else the planner decides."""
     size = genome._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return F.broadcast(genome) if int(str(size)) <= MOST_BROADCAST else genome
+
+
+def chrom_size(genome: DataFrame, chrom: str) -> int | None:
+    row = genome.where(F.col("chrom") == chrom).select("size").first()
+    return None if row is None else row[0]
+
+
+def has_chrom(genome: DataFrame, chrom: str) -> bool:
+    return chrom_size(genome, chrom) is not None
+
+
+def chromosomes(genome: DataFrame) -> list[str]:
+    """Names in order."""
+    return [r[0] for r in genome.orderBy("ord").select("chrom").collect()]  # a row for each chromosome
+
+
+def insert(genome: DataFrame, chrom: str, size: int) -> DataFrame:
+    """``genome`` with the chromosome last, or with another size where it stands if it has it."""
+    held = genome.select("chrom", F.when(F.col("chrom") == chrom, F.lit(size).cast("long")).otherwise(F.col("size")).alias("size"), "ord")
+    own = genome.agg(F.max(F.col("chrom") == chrom).alias("has"), F.coalesce(F.max("ord") + 1, F.lit(0)).alias("ord")).where("NOT coalesce(has, false)")
+    return held.unionByName(own.select(F.lit(chrom).alias("chrom"), F.lit(size).cast("long").alias("size"), "ord"))

@@ -280,3 +280,36 @@ def test_empty_inputs(spark, a, genome):
     assert ops.jaccard(none, none).first()["jaccard"] == 0.0
     assert ops.subtract(a, none).count() == len(A)
     assert ops.coverage(a, none).where("n_overlaps > 0").count() == 0
+
+
+@pytest.mark.parametrize("tile", [None, 8])
+def test_null_keys_are_groups_in_tiles(spark, tile):
+    rows = [("c", 0, 5, None), ("c", 3, 9, None), ("c", 20, 22, "+"), (None, 1, 4, "+"), (None, 2, 30, "+"), ("c", 21, 40, "+")]
+    df = spark.createDataFrame(rows, "chrom string, start bigint, end bigint, strand string")
+    got = sorted((tuple(r) for r in ops.merge(df, strand=True, tile=tile).collect()), key=str)
+    assert got == sorted([("c", 0, 9, None), ("c", 20, 40, "+"), (None, 1, 30, "+")], key=str)
+
+
+def test_closest_keeps_rows_of_odd_strands(spark):
+    a = spark.createDataFrame([("c", 10, 20, "x"), ("c", 10, 20, None), ("c", 10, 20, "+")], "chrom string, start bigint, end bigint, strand string")
+    b = spark.createDataFrame([("c", 12, 14, "+"), ("c", 30, 40, "."), ("c", 50, 60, "-")], "chrom string, start bigint, end bigint, strand string")
+    got = {r.strand: (r.b_start, r.distance) for r in ops.closest(a, b, strand="same").collect()}
+    assert got == {"x": (30, 11), None: (12, 0), "+": (12, 0)}
+    got = {r.strand: (r.b_start, r.distance) for r in ops.closest(a, b, strand="opposite").collect()}
+    assert got == {"x": (12, 0), None: (12, 0), "+": (30, 11)}
+
+
+def test_each_base_in_pieces(spark, monkeypatch):
+    from strandline.plans import sweep
+
+    monkeypatch.setattr(sweep, "PIECE", 7)
+    genome = genome_frame(spark, [("c", 100), ("d", 3)])
+    a = spark.createDataFrame([("c", 10, 40), ("c", 20, 30)], "chrom string, start bigint, end bigint")
+    got = sorted((r.chrom, r.pos, r.depth) for r in ops.genomecov(a, genome, "per_base").collect())
+    assert got == sorted([("c", p + 1, (10 <= p < 40) + (20 <= p < 30)) for p in range(100)] + [("d", p, 0) for p in (1, 2, 3)])
+
+
+def test_plans_aggregate_by_hash(spark):
+    a = spark.createDataFrame([("c", 10, 40, "n")], "chrom string, start bigint, end bigint, name string")
+    for df in (ops.intersect(a, a, unique=True), ops.intersect(a, a, count=True), ops.intersect(a, a, no_overlap=True)):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()

@@ -70,7 +70,7 @@ def test_validate(spark):
 
 
 def test_formats(spark):
-    values = [0.0, 1.0, 0.5, 1 / 3, 0.00001234567, 123456.789, 1234567.0, 0.000123456789, 2 / 3]
+    values = [0.0, 1.0, 0.5, 1 / 3, 0.00001234567, 123456.789, 1234567.0, 0.000123456789, 2 / 3, 0.6640625, 0.6640635, 0.1234565, 0.9999996, 12.34565, 1e-7, 0.25, 100.0, -0.75]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     assert [r[0] for r in df.select(general6("x")).collect()] == [f"{v:.6g}" for v in values]
     assert [r[0] for r in df.select(plain6("x")).collect()][:4] == ["0", "1", "0.5", "0.333333"]
@@ -88,15 +88,19 @@ def test_interval():
     assert i.overlaps(api.Interval("chr1", 199, 300)) and not i.overlaps(api.Interval("chr1", 200, 300)) and not i.overlaps(api.Interval("chr2", 100, 200))
     assert i.overlap_length(api.Interval("chr1", 150, 300)) == 50 and i.overlap_length(api.Interval("chr1", 300, 400)) == 0
     assert i.distance_to(api.Interval("chr1", 250, 300)) == 50 and i.distance_to(api.Interval("chr1", 0, 60)) == 40 and i.distance_to(i) == 0 and i.distance_to(api.Interval("chr2", 0, 1)) is None
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="start.*must be <= end"):
         api.Interval("chr1", 5, 4)
 
 
 def test_interval_set(spark):
     s = api.parse_bed("chr1\t100\t200\nchr1\t150\t300\nchr1\t500\t600\n")
     assert len(s) == 3 and s[0] == api.Interval("chr1", 100, 200) and s[-1] == api.Interval("chr1", 500, 600)
-    with pytest.raises(IndexError):
+    with pytest.raises(ValueError, match="out of bounds"):
         s[3]
+    assert repr(s) == "IntervalSet(3 intervals)" and s.get(9) is None and s.chromosomes() == ["chr1"]
+    query = api.Interval("chr1", 180, 510)
+    assert s.find_overlap_indices(query) == [0, 1, 2] and s.count_overlaps(api.Interval("chr1", 120, 150)) == 1 and not s.has_overlap(api.Interval("chr2", 1, 2))
+    assert s.find_overlaps(api.Interval("chr1", 120, 150)) == [api.Interval("chr1", 100, 200)]
     assert sorted(s.merge().to_list()) == [api.Interval("chr1", 100, 300), api.Interval("chr1", 500, 600)]
     other = api.IntervalSet.from_intervals([api.Interval("chr1", 190, 195)])
     assert len(s.intersect(other)) == 2 and s.non_overlapping(other).to_list() == [api.Interval("chr1", 500, 600)]
@@ -126,7 +130,7 @@ def run(*args):
 
 def test_command_line(spark, files):
     a, b, g = files / "a.bed", files / "b.bed", files / "g"
-    assert sorted(run("intersect", "-a", a, "-b", b)) == ["chr1\t150\t200\ta1\t10.0\t+", "chr1\t300\t350\ta2\t20.0\t-"]
+    assert sorted(run("intersect", "-a", a, "-b", b)) == ["chr1\t150\t200\ta1\t10\t+", "chr1\t300\t350\ta2\t20\t-"]
     assert len(run("intersect", "-a", a, "-b", b, "-v")) == 1 and len(run("intersect", "-a", a, "-b", b, "-wa", "-wb")) == 2
     assert sorted(run("merge", "-i", a, "-d", "100")) == ["chr1\t100\t400", "chr2\t0\t50"]
     assert len(run("subtract", "-a", a, "-b", b)) == 3 and len(run("window", "-a", a, "-b", b)) == 2
@@ -134,7 +138,7 @@ def test_command_line(spark, files):
     assert len(run("coverage", "-a", a, "-b", b)) == 3 and len(run("coverage", "-a", a, "-b", b, "--hist")) == 5
     assert len(run("complement", "-i", a, "-g", g)) == 4 and len(run("slop", "-i", a, "-g", g, "-b", "10")) == 3
     assert len(run("genomecov", "-i", a, "-g", g, "--bg")) == 3
-    assert run("jaccard", "-a", a, "-b", b) == [f"100\t360\t{100 / 360}\t2"]
+    assert run("jaccard", "-a", a, "-b", b) == ["100\t360\t0.277778\t2"]
     assert len(run("multiinter", "-i", a, b)) == 7
     assert [x.split("\t")[3] for x in run("sort", "-i", a, "--sizeA")] == ["a3", "a1", "a2"]
     assert main(["intersect", "-a", str(a), "-b", str(files / "b.bed"), "--strict-sorted"]) == 0
@@ -157,3 +161,36 @@ def test_output_files(spark, files):
     assert len(read("A")) == 100 and len(read("B")) == 50
     with pytest.raises(ValueError):
         api.multiinter([a])
+    api.multiinter([a, b], str(files / "multi"), header=True)
+    assert (files / "multi").read_text().splitlines()[0] == f"chrom\tstart\tend\tnum\tlist\t{a}\t{b}" and (files / "multi").is_file()
+    api.generate(str(files / "all" / "A.bed"), None, 20, mode="all")
+    assert sorted(p.name for p in (files / "all").iterdir()) == sorted(api.ops.generate_modes())
+    assert len((files / "all" / "clustered" / "A.bed").read_text().splitlines()) == 20
+
+
+def test_errors_standard_input_and_stats(spark, files, monkeypatch, capsys):
+    a, b = files / "a.bed", files / "b.bed"
+    with pytest.raises(FileNotFoundError):
+        api.merge(str(files / "none.bed"))
+    (files / "bad.bed").write_text("chr1\t5\n")
+    with pytest.raises(ValueError, match="Malformed line"):
+        api.merge(str(files / "bad.bed"))
+    assert main(["merge", "-i", str(files / "bad.bed")]) == 1 and main(["merge", "-i", str(files / "none.bed")]) == 1
+    capsys.readouterr()
+    monkeypatch.setattr("sys.stdin", io.StringIO(a.read_text()))
+    assert run("intersect", "-a", "-", "-b", b, "-u", "--stats") and "rows of -: 3" in capsys.readouterr().err
+    assert len(run("closest", "-a", a, "-b", b, "--same-strand")) == 3 and len(run("intersect", "-a", a, "-b", b, "--opposite-strand")) == 1
+    assert run("jaccard", "-a", a, "-b", b, "--same-strand") == ["50\t410\t0.121951\t1"]
+
+
+def test_window_sides_closest_lists_and_genome_lookups(spark, files):
+    from strandline import operators as ops
+    from strandline import sources
+
+    a, b = (sources.read_bed(spark, str(files / x)).select("chrom", "start", "end", "strand") for x in ("a.bed", "b.bed"))
+    assert ops.window(a, b, write_b=False).columns == a.columns and ops.window(a, b, write_a=False).columns[0] == "b_chrom"
+    rows = {(r.chrom, r.start): r for r in ops.closest_lists(a, b).collect()}
+    assert rows["chr1", 100].min_distance == 0 and not rows["chr2", 0].has_closest and rows["chr2", 0].min_distance is None
+    g = sources.read_genome(spark, str(files / "g"))
+    g = sources.insert(sources.insert(g, "chr9", 5), "chr1", 7)
+    assert sources.chromosomes(g) == ["chr1", "chr2", "chr9"] and sources.chrom_size(g, "chr1") == 7 and not sources.has_chrom(g, "x")

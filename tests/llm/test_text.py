@@ -235,6 +235,37 @@ def test_license(spark):
     assert license.license_scan(frame(spark, ["a"]).where("false")).count() == 0
 
 
+def test_license_texts_wrapped_and_marked(spark):
+    import textwrap
+
+    by = {}
+    for name, t in license.KNOWN:
+        by.setdefault(name, []).append(t)
+    bsd, header = by["BSD-3-Clause"][-1], by["GPL-3.0-or-later"][0]
+    wrap = lambda t, mark="": "\n".join(textwrap.fill(p, 60, initial_indent=mark, subsequent_indent=mark) or mark for p in t.split("\n"))
+    texts = [
+        wrap(bsd).replace("<year>, <copyright holder>", "2019 Jane Doe").replace("copyright notice", "copyright  notice"), "Some code\n\n" + wrap(header, "# ") + "\n#\n# Copyright Jane Doe\n\nmore code",
+        "while strings are read\nwhilst strings are read", "c major 7 is a chord", "# Copyright 2001 X\n" + wrap(by["Apache-2.0"][-2], "// "),
+    ]
+    got = {(r.doc_id, r.license_id, r.unit) for r in license.license_scan(frame(spark, texts)).collect()}
+    assert (0, "BSD-3-Clause", "text") in got and (1, "GPL-3.0-or-later", "paragraph") in got and (4, "Apache-2.0", "text") in got
+    assert not {d for d, *_ in got} & {2, 3}
+    kept = frame(spark, texts).select(F.flatten(license.normal_paragraphs(F.col("text"))).alias("x")).collect()
+    assert kept[2].x == ["while strings are read"] * 2 and kept[3].x == ["c major 7 is a chord"]
+
+
+def test_license_digests_of_long_texts(spark):
+    import os
+
+    folder, names = "/usr/share/common-licenses", {"Apache-2.0": "Apache-2.0", "GPL-3.0": "GPL-3", "GPL-2.0": "GPL-2", "MPL-2.0": "MPL-2.0", "LGPL-2.1": "LGPL-2.1", "CC0-1.0": "CC0-1.0"}
+    have = {i: f"{folder}/{n}" for i, n in names.items() if os.path.exists(f"{folder}/{n}")}
+    if not have:
+        pytest.skip("no licence texts here")
+    docs = frame(spark, [open(p).read().upper() for p in have.values()])
+    got = {r.license_id for r in license.license_scan(docs).collect() if r.unit == "text"}
+    assert got == set(have)
+
+
 ITEM = "A train with 12 wagons leaves Boston for Paris and needs 3 hours to travel 240 km before the driver called Tom stops the train with 12 wagons for good"
 
 

@@ -6,6 +6,7 @@ import ctypes
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -295,3 +296,23 @@ def open_input(uri: str):
 
     system, where = fs.FileSystem.from_uri(uri)
     return system.open_input_file(where)
+
+
+@contextmanager
+def whole_output(uri: str):
+    """An output stream of a file that appears under its name once it is whole; a repeated write replaces it."""
+    part = f"{uri}.{uuid.uuid4().hex}"
+    with open_output(part) as stream:
+        yield stream
+    path = local_path(uri)
+    if path is not None:
+        os.replace(local_path(part), path)
+        return
+    from pyarrow import fs
+
+    system, where = fs.FileSystem.from_uri(uri)
+    own = fs.FileSystem.from_uri(part)[1]
+    if system.get_file_info(where).type == fs.FileType.NotFound:
+        system.move(own, where)
+    else:  # another attempt was first, with the same content
+        system.delete_file(own)

@@ -156,6 +156,13 @@ def test_language_model(spark, data, monkeypatch, shard_tokens):
         assert r.n_known == sum(w in uni for w in tokens)
         assert r.base_score == pytest.approx(sum(np.log10((uni.get(w, 0) + 1) / (n + len(uni) + 1)) for w in tokens))
         assert r.score == pytest.approx(sum(np.log10(p(h, w)) for h, w in zip(["<s>", *tokens], tokens, strict=False)))
+    # the same from a store whose files can't be mapped
+    monkeypatch.setattr(lm, "local_path", lambda uri: None)
+    far = lm.Model(state)
+    assert not far.mapped
+    for doc, text, *_ in rows[:5]:
+        tokens = lm.token_hashes(text)
+        assert far.score([tokens])[2][0] == pytest.approx(got[doc, len(tokens)].score) and not far.open
     vocabulary = [*uni, b"<unk>"]
     for h in ("<s>", next(iter(uni)), b"never"):
         assert sum(p(h, w) for w in vocabulary) == pytest.approx(1)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_dir, map_arrow, open_input, open_output, partitions_for
+from .common import cut, files_for, fresh_dir, map_arrow, open_input, open_output, partitions_for
 
 CHUNK = 1 << 20
 FILE_BYTES = 1 << 28
@@ -90,45 +90,61 @@ def _writer(folder: str, chunk: int, level: int):
     return run
 
 
+HOT_KEYS, LEAST_HOT = 10_000, 256
+
+
 def plan(pages: DataFrame, least: int = 0) -> DataFrame:
-    """``page_id, url, html, sha1, refers_to``: refers_to is set on revisits."""
+    """``page_id, url, html, sha1, refers_to``: refers_to is set on revisits.
+
+    Payloads that very many pages share (``HOT_KEYS`` at most) are joined by a broadcast and their pages
+    are then dealt by page, so empty or error pages don't meet in one task.
+    """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     hashed = rows.withColumn("sha1", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
-    first = hashed.where(F.octet_length("html") >= least).groupBy("sha1").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("sha1", "_first")
-    met = hashed.join(first, "sha1", "left")
-    other = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")) & (F.octet_length("html") >= least)
-    return met.select("page_id", "url", "html", "sha1", F.when(other, F.col("_first")).alias("refers_to"))
+    hot = max(LEAST_HOT, -(-2 * pages.count() // HOT_KEYS))
+    shared = hashed.where(F.octet_length("html") >= least).groupBy("sha1").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    often = shared.where(F.col("_n") >= hot).select(F.col("sha1").alias("_often"), F.col("_first").alias("_often_first"))
+    seldom = shared.where(F.col("_n") < hot).select(F.col("sha1").alias("_key"), "_first")
+    met = hashed.join(F.broadcast(often), F.col("sha1") == F.col("_often"), "left")
+    own = F.unhex(F.sha1(F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))
+    met = met.withColumn("_key", F.when(F.col("_often").isNull(), F.col("sha1")).otherwise(own)).join(seldom, "_key", "left")
+    first = F.when(F.col("_often").isNotNull(), F.col("_often_first")).otherwise(F.col("_first"))
+    other = first.isNotNull() & ~F.col("page_id").eqNullSafe(first) & (F.octet_length("html") >= least)
+    return met.select("page_id", "url", "html", "sha1", F.when(other, first).alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, least: int = 0, chunk: int = CHUNK, level: int = 1) -> DataFrame:
     """Writes the archives and returns their manifest."""
-    return cut(map_arrow(plan(pages, least), _writer(folder, chunk, level), MANIFEST))
+    return cut(map_arrow(plan(pages, least), _writer(folder, chunk, level), MANIFEST), files_for(pages))
 
 
 class _Bytes:
-    """Inflated bytes of a (gzip) stream, a block at a time."""
+    """Inflated bytes of a (gzip) stream, a block at a time: neither what is read nor what it inflates to exceeds a block."""
 
     def __init__(self, stream, block: int):
-        self.stream, self.block, self.packed, self.buffer, self.unpacker = stream, block, None, bytearray(), None
+        self.stream, self.block, self.packed, self.buffer, self.unpacker, self.pending = stream, block, None, bytearray(), None, b""
 
     def more(self) -> bool:
-        data = self.stream.read(self.block) if self.unpacker is None or not self.unpacker.unused_data else b""
+        if not self.pending:
+            self.pending = self.stream.read(self.block)
         if self.packed is None:
-            self.packed = data[:2] == b"\x1f\x8b"
+            self.packed = self.pending[:2] == b"\x1f\x8b"
         if not self.packed:
+            data, self.pending = self.pending, b""
             self.buffer += data
             return bool(data)
-        if self.unpacker is not None and self.unpacker.unused_data:
-            data = self.unpacker.unused_data
-            self.unpacker = None
-        if not data:
-            return False
         if self.unpacker is None:
+            if not self.pending:
+                return False
             self.unpacker = zlib.decompressobj(31)
-        self.buffer += self.unpacker.decompress(data)
-        if self.unpacker.eof and not self.unpacker.unused_data:
-            self.unpacker = None
-        return True
+        at_end = not self.pending
+        data = self.unpacker.decompress(self.pending, self.block)
+        self.buffer += data
+        if self.unpacker.eof:
+            self.pending, self.unpacker = self.unpacker.unused_data, None
+        else:
+            self.pending = self.unpacker.unconsumed_tail
+        return bool(data) or not at_end
 
     def until(self, mark: bytes) -> bytes | None:
         at = 0
@@ -219,7 +235,8 @@ def _reader(chunk: int, payload: bool, batch_bytes: int = 1 << 23):
 
 def read(spark: SparkSession, archives: DataFrame, chunk: int = CHUNK, payload: bool = True) -> DataFrame:
     """The chunk table of the archives whose paths are in ``archives.path``; ``payload=False`` leaves the bytes out."""
-    return map_arrow(archives.select("path").repartition(partitions_for(spark)), _reader(chunk, payload), CHUNKS)
+    tasks = min(partitions_for(spark), max(1, archives.count()))
+    return map_arrow(archives.select("path").repartition(tasks), _reader(chunk, payload), CHUNKS)
 
 
 def archive(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:

@@ -22,7 +22,7 @@ def vectors(n=300, d=19, seed=1):
     out[10] = (10, [float("inf")] + [0.0] * (d - 1))
     out[11] = (11, [])
     out[12] = (12, [0.5] * 3)
-    out += [(1000 + i, out[20][1]) for i in range(30)] + [(None, out[20][1]), (20, out[20][1])]
+    out += [(1000 + i, out[20][1]) for i in range(30)] + [(None, out[20][1]), (20, out[20][1]), (100, out[100][1]), (100, out[100][1]), (200, out[200][1])]
     return out
 
 
@@ -93,6 +93,31 @@ def test_warc(spark, tmp_path, chunk):
     assert warc.archive(df.where("false")).count() == 0
 
 
+def test_payloads_shared_by_many_pages(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LEAST_HOT", 3)
+    rows = [(i, "u", ["", "same", f"own {i}", "two" if i < 8 else f"x{i}"][i % 4]) for i in range(40)] + [(None, "u", ""), (None, "u", "two")]
+    got = {r.page_id: r.refers_to for r in warc.plan(spark.createDataFrame(rows, "page_id long, url string, html string")).collect() if r.page_id is not None}
+    assert got == {i: {0: 0, 1: 1, 3: 3 if i < 8 else i}.get(i % 4, i) if i != {0: 0, 1: 1, 3: 3 if i < 8 else i}.get(i % 4, i) else None for i in range(40)}
+    nulls = [r.refers_to for r in warc.plan(spark.createDataFrame(rows, "page_id long, url string, html string")).where("page_id IS NULL").collect()]
+    assert sorted(nulls) == [0, 3]
+
+
+def test_records_inflate_in_bounded_blocks():
+    import io
+
+    body = b"\0" * 40_000_000
+    raw = gzip.compress(b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)) * 2
+    source = warc._Bytes(io.BytesIO(raw), 1 << 16)
+    for _ in range(2):
+        assert source.until(b"\r\n\r\n")
+        size = 0
+        for piece in source.take(len(body)):
+            size += len(piece)
+            assert len(piece) <= 1 << 17 and len(source.buffer) <= 1 << 17
+        assert size == len(body) and source.until(b"\r\n\r\n") == b""
+    assert source.until(b"\r\n\r\n") is None
+
+
 def test_plain_archives_are_read(tmp_path):
     import io
 

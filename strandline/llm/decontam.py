@@ -114,11 +114,16 @@ def _combined(array: str, n: int, at: str) -> str:
 
 
 def _meet(hashed: DataFrame, items: DataFrame, sizes: list[int], small: bool) -> DataFrame:
-    """Windows of ``hashed`` (doc_id, t: hashes of tokens) that are windows of ``items`` (n, h and more)."""
-    runs = [f"CASE WHEN size(t) >= {n} THEN transform(sequence(0, size(t) - {n}), i -> named_struct('n', {n}, 'at', i, 'h', {_combined('t', n, 'i')})) ELSE array() END" for n in sizes]
-    # outer: else a filter on the windows would move below them and hash every text twice
+    """Windows of ``hashed`` (doc_id, t: hashes of tokens) that are windows of ``items`` (n, h and more), with ``at``, their place."""
+    run = lambda n, x: f"CASE WHEN size(t) >= {n} THEN transform(sequence(0, size(t) - {n}), i -> {x.format(_combined('t', n, 'i'))})"
+    own = F.broadcast(items) if small else items
+    # no filter on the windows: it would move below them and hash every text twice
+    if len(sizes) == 1:  # as a rule; bare hashes are cheaper than rows with their size
+        windows = hashed.select("doc_id", F.expr(f"posexplode({run(sizes[0], '{}')} END)")).withColumnsRenamed({"pos": "at", "col": "h"})
+        return windows.join(own, "h")
+    runs = [run(n, f"named_struct('n', {n}, 'at', i, 'h', {{}})") + " ELSE array() END" for n in sizes]
     windows = hashed.select("doc_id", F.expr(f"explode_outer(concat({', '.join(runs)}))").alias("x")).select("doc_id", "x.*")
-    return windows.join(F.broadcast(items) if small else items, ["n", "h"])
+    return windows.join(own, ["n", "h"])
 
 
 def _hash_of(n: str, sizes: list[int]) -> Column:

@@ -29,11 +29,14 @@ def remainder(key: str | Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit(""))), F.lit(modulus))
 
 
+def below(hashed: Column, fraction: float) -> Column:
+    """Whether a 64-bit hash lies in the lowest ``fraction`` of all hashes, however small that is."""
+    return F.lit(True) if fraction >= 1 else F.shiftrightunsigned(hashed, 1) < F.lit(int(fraction * (1 << 63)))
+
+
 def sample_fraction(key: str, fraction: float) -> Column:
     """Stable row filter that keeps about ``fraction`` of the keys."""
-    if fraction >= 1:
-        return F.lit(True)
-    return F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 20)) < int(fraction * (1 << 20))
+    return below(F.xxhash64(F.lit("sample"), F.col(key)), fraction)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -2,8 +2,8 @@
 
 The kernel is the blended spectrum of presence: K(x, y) = |G(x) & G(y)| / sqrt(|G(x)| |G(y)|)
 where G(x) is the set of (hashed) character n-grams of 1 to ``MAX_N`` characters of the whole
-text in lower case. A bounded sample of ``max_rows`` labelled rows gives ``landmarks``
-landmarks (as many for each language as can be) and the ridge regression in their Nyström
+text in lower case. A bounded sample of ``max_rows`` labelled rows, and of ``least_rows`` of each rarer language
+(all of them if it has fewer), gives ``landmarks`` landmarks (as many for each language as can be) and the ridge regression in their Nyström
 space, one language against the rest. Since the kernel is a dot product of presence
 vectors, landmarks and coefficients fold into one matrix; a batch of texts is scored by
 one product of its presence matrix with it.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import MIX_A, map_arrow, remainder, sample_fraction
 
 BITS, MAX_N = 16, 4
-MAX_ROWS, LANDMARKS, RIDGE = 4000, 240, 1e-2
+MAX_ROWS, LEAST_ROWS, LANDMARKS, RIDGE = 4000, 50, 240, 1e-2
 BATCH = 128
 
 
@@ -89,15 +89,20 @@ def _solver(landmarks: int):
     return solve
 
 
-def fit(documents: DataFrame, train: Column | None = None, max_rows: int = MAX_ROWS, landmarks: int = LANDMARKS):
-    """(languages, biases, matrix) from about ``max_rows`` labelled rows."""
+def fit(documents: DataFrame, train: Column | None = None, max_rows: int = MAX_ROWS, landmarks: int = LANDMARKS, least_rows: int = LEAST_ROWS):
+    """(languages, biases, matrix) from about ``max_rows`` labelled rows and ``least_rows`` of each rarer language."""
     known = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     if train is not None:
         known = known.where(train)
-    n = known.count()
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language, like the model
+    n = sum(sizes.values())
     if not n:
         return [], np.zeros(0), np.zeros((1 << BITS, 0), np.float32)
-    sample = known.where(sample_fraction("doc_id", max_rows / n)).select(F.col("doc_id").cast("string"), "text", "lang").repartition(1)
+    rare = {x: least_rows / k for x, k in sizes.items() if least_rows * n > max_rows * k}
+    keep = F.when(F.col("lang").isin(list(rare)), F.lit(False)).otherwise(sample_fraction("doc_id", max_rows / n))
+    for x, rate in rare.items():
+        keep = keep | ((F.col("lang") == x) & sample_fraction("doc_id", rate))
+    sample = known.where(keep).select(F.col("doc_id").cast("string"), "text", "lang").repartition(1)
     rows = sorted(map_arrow(sample, _solver(landmarks), "lang string, bias double, column binary").collect(), key=lambda r: r["lang"])  # a row for each language
     if not rows:
         return [], np.zeros(0), np.zeros((1 << BITS, 0), np.float32)

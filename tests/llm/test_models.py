@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import langid, lm, toxicity
+from strandline.llm.common import below, sample_fraction
 
 DOCS = "doc_id long, text string, lang string, score string, k string"  # the last two clash with inner names
 
@@ -91,6 +92,31 @@ def test_language(spark, data):
     assert langid.language(docs.where("false")).count() == 0
 
 
+def test_rare_languages_are_learnt(spark):
+    rows = [(i, f"der hund und die katze {i % 97} laufen über das feld", "de") for i in range(3000)] + [(10_000 + i, f"the dog and the cat {i} run over the field", "en") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, bias, matrix = langid.fit(docs, max_rows=300, least_rows=5)
+    assert langs == ["de", "en"] and matrix.shape[1] == len(bias) == 2
+    got = {r.lang: r.n for r in docs.join(langid.predict(docs, (langs, bias, matrix)), "doc_id").where("lang = lang_pred").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert got == {"de": 3000, "en": 6}
+
+
+def test_samples_of_any_fraction(spark):
+    ids = spark.range(20_000).withColumnRenamed("id", "k")
+    assert ids.where(sample_fraction("k", 1.0)).count() == 20_000
+    assert 700 < ids.where(sample_fraction("k", 0.04)).count() < 900
+    assert ids.where(sample_fraction("k", 1e-12)).count() == 0
+    # of hashes spread over the whole range, a fraction far below one in a million is still told apart
+    spread = spark.range(1000).select((F.col("id") * 2_000_000).alias("h"))
+    assert spread.where(below(F.col("h"), 1e-10)).count() == 923  # (1 << 63) * 1e-10 is 922,337,203; half of h is compared
+
+
+def test_packed_arrays_come_back():
+    arrays = [np.arange(5, dtype=np.uint16), np.array([1 << 40], np.uint64), np.zeros(0, np.uint8), np.array([7, 255], np.uint8), np.arange(3, dtype=np.uint32)]
+    back = lm._unpacked(lm._packed(arrays))
+    assert [(a.dtype, a.tolist()) for a in back] == [(a.dtype, a.tolist()) for a in arrays]
+
+
 def test_grams_and_kernel():
     texts = ["abcab", "ABC", "zzz", "ñandú ñ"]
     sets = [{t.lower()[i : i + n] for n in range(1, langid.MAX_N + 1) for i in range(len(t) - n + 1)} for t in texts]

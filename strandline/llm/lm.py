@@ -25,13 +25,14 @@ trains (its remainder is 0); other columns are not read.
 from __future__ import annotations
 
 import pickle
+import struct
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX_A, ascii_words, cut, files_for, fresh_dir, local_path, map_arrow, mixed, open_input, remainder, whole_output, word_hashes
+from .common import MIX_A, ascii_words, below, cut, files_for, fresh_dir, local_path, map_arrow, mixed, open_input, remainder, whole_output, word_hashes
 
 SHARD_TOKENS = 3_000_000
 FLUSH = 2_000_000
@@ -91,13 +92,27 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
+def _packed(arrays) -> bytes:
+    """Integer arrays behind their number, types and lengths: 6 bytes each, as a flush gives a shard little where shards are many."""
+    return b"".join([bytes([len(arrays)]), *(struct.pack("<2sI", a.dtype.str[1:].encode(), len(a)) for a in arrays), *(a.tobytes() for a in arrays)])
+
+
+def _unpacked(blob: bytes) -> list[np.ndarray]:
+    at, out = 1 + 6 * blob[0], []
+    for i in range(blob[0]):
+        kind, length = struct.unpack_from("<2sI", blob, 1 + 6 * i)
+        out.append(np.frombuffer(blob, "<" + kind.decode(), length, at))
+        at += out[-1].nbytes
+    return out
+
+
 def _by_shard(kind: str, shard: np.ndarray, shards: int, pack):
     order = np.argsort(shard, kind="stable")
     cuts = np.searchsorted(shard[order], np.arange(shards + 1))
     for s in range(shards):
         rows = order[cuts[s] : cuts[s + 1]]
         if len(rows):
-            yield kind, s, pickle.dumps(pack(rows), 5), None
+            yield kind, s, _packed(pack(rows)), None
 
 
 def _flush(tokens: list[np.ndarray], shards: int, hot: np.ndarray):
@@ -186,7 +201,7 @@ def _bytes_and_more(count: np.ndarray):
 
 def _merge(kind: str, shard: int, blobs: list[bytes], folder: str, shards: int):
     """Adds a shard up, writes it, and gives its sums (counts of counts and totals) and what the next round needs."""
-    parts = [pickle.loads(b) for b in blobs]
+    parts = list(map(_unpacked, blobs))
     every = lambda i: np.concatenate([p[i] for p in parts])
     ids = _joined(every(0), every(1))
     if kind == "bigrams":
@@ -263,7 +278,7 @@ def frequent(texts: DataFrame, size: float, shards: int) -> np.ndarray:
     """Sorted ids of the words that may be contexts of a tenth of a shard or more, and the start marker."""
     if shards == 1:
         return np.zeros(0, np.uint64)
-    few = F.pmod(F.xxhash64(F.lit("hot"), "text"), F.lit(1 << 20)) < int(min(1.0, SAMPLE_TOKENS / size) * (1 << 20)) + 1
+    few = below(F.xxhash64(F.lit("hot"), "text"), SAMPLE_TOKENS / size)
     counts = map_arrow(texts.where(few), _words_of, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "w").limit(MOST_HOT).collect()
     least = min(SAMPLE_TOKENS, size) / (10 * shards)

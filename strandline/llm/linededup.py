@@ -38,8 +38,7 @@ from .common import components, cut, files_for, groups_of, map_arrow, pair_block
 
 LEAD, SIMILAR, MIN_TOKENS, MIN_DOCS = 3, 80, 5, 2
 LEAF, WEIGHT = 384, 2_000_000
-BLOOM_SHIFT = 41
-BLOOM = 1 << (64 - BLOOM_SHIFT)  # bits; it only saves work, whatever is in it
+LEAST_BITS, MOST_BITS = 23, 27  # powers of two: 1 to 16 MB; the map only saves work, whatever is in it
 ANY = b"<*>"
 
 
@@ -70,21 +69,34 @@ def _hashed(tokens: list[bytes]) -> bytes:
 _LINES = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("leaf", pa.int64()), ("line", pa.int64()), ("tokens", pa.binary())])
 
 
-def _bitmap(batches):
-    """One fixed-size bit map of the leaves of a task."""
-    seen = np.zeros(BLOOM, bool)
-    for batch in batches:
-        seen[(batch.column(0).to_numpy().astype(np.int64).view(np.uint64) >> np.uint64(BLOOM_SHIFT)).astype(np.int64)] = True
-    yield pa.record_batch({"bits": pa.array([np.packbits(seen, bitorder="little").tobytes()], pa.binary())})
+def bits_for(leaves: int) -> int:
+    """The power of two of a bit map's size: 32 to 64 bits a leaf between the bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, (32 * leaves).bit_length()))
 
 
-def _either(batches):
+def _bitmap(power: int):
+    """One bit map of the leaves of a task."""
+
+    def run(batches):
+        seen = np.zeros(1 << power, bool)
+        for batch in batches:
+            seen[(batch.column(0).to_numpy().astype(np.int64).view(np.uint64) >> np.uint64(64 - power)).astype(np.int64)] = True
+        yield pa.record_batch({"bits": pa.array([np.packbits(seen, bitorder="little").tobytes()], pa.binary())})
+
+    return run
+
+
+def _either(power: int):
     """The bit maps of all tasks in one."""
-    bits = np.zeros(BLOOM // 8, np.uint8)
-    for batch in batches:
-        for row in batch.column(0):
-            bits |= np.frombuffer(row.as_py(), np.uint8)
-    yield pa.record_batch({"bits": pa.array([bits.tobytes()], pa.binary())})
+
+    def run(batches):
+        bits = np.zeros(1 << power >> 3, np.uint8)
+        for batch in batches:
+            for row in batch.column(0):
+                bits |= np.frombuffer(row.as_py(), np.uint8)
+        yield pa.record_batch({"bits": pa.array([bits.tobytes()], pa.binary())})
+
+    return run
 
 
 def _lines(min_tokens: int, likely=None):
@@ -92,6 +104,7 @@ def _lines(min_tokens: int, likely=None):
 
     def run(batches):
         bits = None if likely is None else likely.value
+        shift = None if bits is None else 65 - (8 * len(bits)).bit_length()
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             docs, numbers, leaves, lines, blobs = [], [], [], [], []
@@ -102,7 +115,7 @@ def _lines(min_tokens: int, likely=None):
                 for i, tokens in parse(text, min_tokens):
                     leaf = _leaf(tokens)
                     if bits is not None:
-                        at = leaf >> BLOOM_SHIFT
+                        at = leaf >> shift
                         if not bits[at >> 3] >> (at & 7) & 1:
                             continue
                         blobs.append(_hashed(tokens))
@@ -217,8 +230,9 @@ def templates(lines: DataFrame, similar: int, n: int, min_tokens: int, texts: Da
     """``line, template``: lines whose template is named after another line, its smallest."""
     leaves = lines.groupBy("leaf").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("line").alias("x"), F.max("line").alias("y"))
     open_ = cut(leaves.where("a <> b AND x <> y").select("leaf"), files)
-    maps = map_arrow(map_arrow(open_.coalesce(8), _bitmap, "bits binary").repartition(1), _either, "bits binary").collect()  # one row of a fixed size
-    likely = texts.sparkSession.sparkContext.broadcast(maps[0]["bits"] if maps else bytes(BLOOM // 8))
+    power = bits_for(open_.count())
+    maps = map_arrow(map_arrow(open_.coalesce(8), _bitmap(power), "bits binary").repartition(1), _either(power), "bits binary").collect()  # one row of a bounded size
+    likely = texts.sparkSession.sparkContext.broadcast(maps[0]["bits"] if maps else bytes(1 << power >> 3))
     # leaves that the bit map lets through by chance are parsed in vain: their lines have no second document
     met = map_arrow(texts, _lines(min_tokens, likely), _SQL_LINES).groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
     with_tokens = stored(met, "tokens", files)

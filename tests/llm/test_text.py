@@ -174,6 +174,10 @@ def test_line_dedup_matches_brute_force(spark, monkeypatch):
         assert {(r.doc_id, r.line_no) for r in linededup.recurring(df).collect()} == want
 
 
+def test_bit_map_grows_with_the_leaves():
+    assert [linededup.bits_for(n) for n in (0, 1 << 18, 1 << 20, 1 << 40)] == [23, 24, 26, 27]
+
+
 def test_line_templates_have_variable_places(spark):
     users, hosts = ["ann", "bob", "eve", "joe"], ["oak", "elm", "fir"]
     texts = [f"login page shows user {u} on host {h} at port {22 + i} today" for i, (u, h) in enumerate((u, h) for u in users for h in hosts)]

@@ -33,7 +33,8 @@ ALPHA, SEED = 2.0, 17
 SPACE = "▁"
 SHORT_WORD = 64
 CHUNK = re.compile(r"\n| ?[^ \n]+| ")
-WORDS_AT_ONCE = 200_000
+WORDS_AT_ONCE = 100_000
+ADD_AT_ONCE = 5_000  # new words filtered together; both bound a worker's memory and change no result
 TOP = np.uint32(0xFFFFFFFF)
 
 
@@ -168,8 +169,8 @@ class Lattices:
             self.reset()
         new = list({w: None for w in words if w not in self.end})
         short = [w for w in new if len(w) <= SHORT_WORD]
-        for at in range(0, len(short), 20_000):
-            self._add(short[at : at + 20_000])
+        for at in range(0, len(short), ADD_AT_ONCE):
+            self._add(short[at : at + ADD_AT_ONCE])
         if len(short) < len(new):  # filtered by themselves, since filtering goes place by place
             self._add([w for w in new if len(w) > SHORT_WORD])
         if self.new:

@@ -72,3 +72,22 @@ def test_report_once(a, b, strand, tile):
 def test_report_once_makes_no_pairs(spark):
     df = ops.intersect(*dense(spark), report_once=True)
     assert joined(spark, df) <= 4 * DENSE and df.count() == DENSE
+
+
+@pytest.mark.parametrize("tie,strand,flags", [("first", None, {}), ("last", None, {}), ("first", None, {"ignore_upstream": True}), ("last", None, {"ignore_downstream": True}), ("first", None, {"ignore_overlapping": True}), ("last", None, {"ignore_overlapping": True}), ("first", "same", {}), ("last", "opposite", {}), ("last", None, {"max_distance": 3})])
+@pytest.mark.parametrize("tile", [None, 16])
+def test_closest_one(a, b, tie, strand, flags, tile):
+    every = {}
+    for r in ops.closest(a, b, strand=strand, **flags).collect():
+        every.setdefault(r["id"], []).append((r["b_start"], r["b_end"], r["b_id"], r["distance"], r["signed_distance"], r["b_chrom"]))
+    assert sorted(every) == sorted(x[0] for x in A)
+    pick = min if tie == "first" else max
+    got = ops.closest(a, b, tie=tie, strand=strand, tile=tile, **flags).collect()
+    assert sorted(r["id"] for r in got) == sorted(every)
+    assert {r["id"]: (r["b_start"], r["b_end"], r["b_id"], r["distance"], r["signed_distance"], r["b_chrom"]) for r in got} == {k: pick(v) if len(v) > 1 else v[0] for k, v in every.items()}
+
+
+@pytest.mark.parametrize("tie", ["first", "last"])
+def test_closest_one_makes_no_pairs(spark, tie):
+    df = ops.closest(*dense(spark), tie=tie)
+    assert joined(spark, df) <= 20 * DENSE and df.count() == DENSE

@@ -91,3 +91,50 @@ def test_closest_one(a, b, tie, strand, flags, tile):
 def test_closest_one_makes_no_pairs(spark, tie):
     df = ops.closest(*dense(spark), tie=tie)
     assert joined(spark, df) <= 20 * DENSE and df.count() == DENSE
+
+
+def depths(x, strand):
+    return [sum(y[2] <= p < y[3] for y in B if x[1] is not None and y[1] == x[1] and met((0, x[1], p, p + 1, x[4]), y, strand)) for p in range(x[2], x[3])]
+
+
+@pytest.mark.parametrize("strand", [None, "same", "opposite"])
+@pytest.mark.parametrize("tile", [None, 16])
+def test_depths(a, b, strand, tile):
+    want, every, bases = [], {}, []
+    for x in A:
+        at = depths(x, strand)
+        bases += [(x[0], i + 1, d) for i, d in enumerate(at)]
+        for d in set(at) or {0}:
+            want.append((x[0], d, at.count(d), len(at), at.count(d) / len(at) if at else 1.0))
+            every[d] = every.get(d, 0) + at.count(d)
+    total = sum(every.values())
+    got = lambda mode, *columns: sorted(tuple(r) for r in ops.coverage(a, b, mode, strand=strand, tile=tile).select(*columns).collect())
+    assert got("hist", "id", "depth", "bases", "length", "fraction") == sorted(want)
+    assert got("all", "depth", "bases", "length", "fraction") == sorted((d, n, total, n / total) for d, n in every.items())
+    assert got("per_base", "id", "offset", "depth") == sorted(bases)
+
+
+@pytest.mark.parametrize("mode", ["hist", "all", "per_base"])
+def test_depths_make_no_pairs_of_rows(spark, mode):
+    a, b = dense(spark)
+    a = a.withColumns({"start": F.col("start") + F.col("id") * 5, "end": F.lit(2000).cast("long")})
+    b = b.withColumns({"start": F.lit(1600).cast("long"), "end": F.lit(1700).cast("long")})
+    assert joined(spark, ops.coverage(a, b, mode)) <= 6 * DENSE
+
+
+def test_all_of_nothing(spark, a, b):
+    assert ops.coverage(a.where("false"), b, "all").count() == 0 == ops.coverage(a.where("false"), b, "hist").count()
+    assert [tuple(r) for r in ops.coverage(a.where("start = end"), b, "all").collect()] == [("all", 0, 0, 0, 1.0)]
+    assert sorted(r.depth for r in ops.coverage(a, b.where("false"), "hist").collect()) == [0] * len(A)
+
+
+def test_lengths_of_every_size(spark):
+    """Rows of 1 base to a whole chromosome, so of many levels."""
+    rows = [(i, "c", s, s + (1 << k)) for i, (k, s) in enumerate((k, s) for k in range(0, 21, 2) for s in (0, 5, 1023, 70_000))]
+    schema = "id long, chrom string, start long, end long"
+    a = spark.createDataFrame(rows, schema)
+    b = spark.createDataFrame([(i, "c", p, p + n) for i, (p, n) in enumerate([(0, 3), (6, 2), (1000, 5000), (1024, 1), (3000, 90_000), (70_001, 1), (80_000, 1 << 20)])], schema)
+    want = sorted((r.id, r.bases_covered) for r in ops.coverage(a, b).collect())
+    hist = ops.coverage(a, b, "hist")
+    assert sorted((r.id, r.n) for r in hist.groupBy("id").agg(F.sum(F.when(F.col("depth") > 0, F.col("bases")).otherwise(0)).alias("n")).collect()) == want
+    assert sorted((r.id, r.n) for r in hist.groupBy("id").agg(F.sum("bases").alias("n")).collect()) == sorted((r[0], r[3] - r[2]) for r in rows)

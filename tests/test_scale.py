@@ -138,3 +138,21 @@ def test_lengths_of_every_size(spark):
     hist = ops.coverage(a, b, "hist")
     assert sorted((r.id, r.n) for r in hist.groupBy("id").agg(F.sum(F.when(F.col("depth") > 0, F.col("bases")).otherwise(0)).alias("n")).collect()) == want
     assert sorted((r.id, r.n) for r in hist.groupBy("id").agg(F.sum("bases").alias("n")).collect()) == sorted((r[0], r[3] - r[2]) for r in rows)
+
+
+@pytest.mark.parametrize("genome", [None, [("c2", 100), ("c1", 100), ("c3", 100)]])
+def test_order_of_rows_at_one_position(spark, genome):
+    """Ties are resolved by the data, not by the order in which rows arrive."""
+    from strandline.sources import genome_frame
+    from strandline.sources.validate import order_faults
+
+    data, seen = [(p, c, s) for p, s in ((1, 7), (1, 3), (1, 9), (2, 9), (2, 4)) for c in ("c1", "c2", "c3", "c8")] + [(3, "c1", 1), (0, "c8", 5)], set()
+    known = genome_frame(spark, genome) if genome else None
+    for seed in range(4):
+        random.Random(seed).shuffle(data)
+        df = spark.createDataFrame(data, "pos long, chrom string, start long").coalesce(1)
+        seen.add(tuple(sorted(tuple(r) for r in order_faults(df, known, "pos").select("_pos", "chrom", "start", "reason").collect())))
+    (faults,) = seen
+    falls = [(p, c, s) for p, c, s, why in faults if why == "start position decreases"]
+    assert falls == sorted([(2, c, 4) for c in ("c1", "c2", "c3", "c8")] + [(1, "c8", 3), (3, "c1", 1)])
+    assert [c for _, c, _, why in faults if why == "chromosomes are not in genome order"] == []

@@ -156,3 +156,23 @@ def test_order_of_rows_at_one_position(spark, genome):
     falls = [(p, c, s) for p, c, s, why in faults if why == "start position decreases"]
     assert falls == sorted([(2, c, 4) for c in ("c1", "c2", "c3", "c8")] + [(1, "c8", 3), (3, "c1", 1)])
     assert [c for _, c, _, why in faults if why == "chromosomes are not in genome order"] == []
+
+
+def test_strand_bits_are_strand_matches(spark):
+    from strandline.functions.algebra import strand_bit, strand_bits, strand_matches
+
+    strands = ["+", "-", ".", "x", "", None]
+    df = spark.createDataFrame([(x, y) for x in strands for y in strands], "x string, y string")
+    for which in ("same", "opposite"):
+        both = df.select(strand_matches(F.col("x"), F.col("y"), which).alias("m"), (strand_bits("x", which).bitwiseAND(strand_bit("y")) != 0).alias("n"), "x", "y").collect()
+        assert [r for r in both if r.m != r.n] == []
+
+
+@pytest.mark.parametrize("which", ["same", "opposite"])
+def test_rows_of_b_are_not_copied_for_each_strand(spark, which):
+    """A row of B that sees all strands meets a near row of A from one place of an end, not from one for each group."""
+    a, b = dense(spark)
+    b = b.withColumns({"start": F.col("id") + 1000, "end": F.col("id") + 1010, "strand": F.lit(None).cast("string")})
+    df = ops.closest(a, b, strand=which)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.count() == DENSE and "b__g" not in plan
